@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import html, mixing, quality, simhash, tokens, urls
 
 QUERIES = {
+    "op1_token_counts": tokens.query,
     "op4_quality_rules": quality.query,
+    "op5_url_filters": urls.query,
     "op6_simhash": simhash.query,
+    "op7_html_text": html.query,
+    "op8_mixing": mixing.query,
 }
 
 SQL = {
     "op4_quality_rules": quality.sql(),
+    "op5_url_filters": urls.sql(),
+    "op8_mixing": mixing.sql(),
 }
