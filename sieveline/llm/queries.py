@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import html, mixing, quality, simhash, tokens, urls
+from . import html, mixing, pii, quality, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
+    "op3_pii": pii.query,
     "op4_quality_rules": quality.query,
     "op5_url_filters": urls.query,
     "op6_simhash": simhash.query,
     "op7_html_text": html.query,
     "op8_mixing": mixing.query,
+    "op10_toxicity": toxicity.query,
 }
 
 SQL = {
