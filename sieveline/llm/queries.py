@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html, mixing, pii, quality, simhash, tokens, toxicity, urls
+from . import html, mixing, pii, quality, repeats, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
+    "op2_repeats": repeats.query,
     "op3_pii": pii.query,
     "op4_quality_rules": quality.query,
     "op5_url_filters": urls.query,
