@@ -41,11 +41,11 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules use. Each ``select`` names arrays that later ones read, so none is evaluated twice."""
-    a = doc_text(docs).select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), _lines(F.col("text")).alias("ln"))
+def measured(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """``carry`` and the counts that the rules use. Each ``select`` names arrays that later ones read, so none is evaluated twice."""
+    a = docs.select(carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(carry, "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), _lines(F.col("text")).alias("ln"))
     b = a.select(
-        "doc_id",
+        carry,
         F.size("w").alias("n"),
         F.length(F.array_join("w", "")).alias("wc"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).alias("sym"),
@@ -67,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     long = lambda c: F.col(c).cast("bigint")
-    return e.select("doc_id", long("n").alias("n_words"), long("wc").alias("word_chars"), long("sym").alias("n_symbols"), long("dl").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), long("nl").alias("n_lines"), long("stops").alias("stop_kinds"))
+    return e.select(carry, long("n").alias("n_words"), long("wc").alias("word_chars"), long("sym").alias("n_symbols"), long("dl").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), long("nl").alias("n_lines"), long("stops").alias("stop_kinds"))
 
 
 METRICS = {
@@ -95,7 +95,12 @@ def base_failed() -> Column:
 
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per input row: the counts, ``base_failed`` and ``kept``."""
-    return measured(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return beside(doc_text(docs), "doc_id", rules)
+
+
+def beside(docs: DataFrame, carry: str, rules=RULES) -> DataFrame:
+    """``carry``, a column of any type, with the metrics and verdict of the row's ``text``."""
+    return measured(docs, carry).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 
 
 def query(spark, sf_dir):

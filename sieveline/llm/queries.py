@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, mixing, pii, quality, repeats, simhash, tokens, toxicity, urls
+from . import html, leaks, mixing, pii, quality, repeats, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_html_text": html.query,
     "op8_mixing": mixing.query,
+    "op9_leaks": leaks.query,
     "op10_toxicity": toxicity.query,
 }
 
