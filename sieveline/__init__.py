@@ -1,0 +1 @@
+"""Spark-native building, searching and evaluating of text knowledge bases."""
