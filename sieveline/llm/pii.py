@@ -2,7 +2,7 @@
 
 Base patterns (email, ip, card, phone) are found exactly: leftmost
 non-overlapping per kind, then checked (octets, Luhn, digit counts); failing
-matches are dropped. High-recall generators propose further, overlapping spans:
+matches are dropped. Broad generators propose further, overlapping spans:
 keyed secrets, long mixed tokens, digit groups, spelled-out emails. Boosted
 trees score each from its format and context; a kind's threshold, calibrated on
 held-out examples to ``PRECISION``, decides, and the best of overlapping spans
