@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -194,8 +195,8 @@ class Model:
                     vote = self.index.vote(v, without=c, toxic=y)[0]
                     votes += [vote] * m
                     ys += [y] * m
-        both = 0 < sum(ys) < len(ys)
-        self.a, self.b = platt(np.array(votes), np.array(ys, float)) if both else (0.0, _logit(self.rate))
+        self.both = 0 < sum(ys) < len(ys)
+        self.a, self.b = platt(np.array(votes), np.array(ys, float)) if self.both else (0.0, 0.0)
 
     def vector(self, items) -> np.ndarray:
         ids, tf = (np.array([i[k] for i in items], np.int64) for k in (0, 1))
@@ -206,7 +207,7 @@ class Model:
             if len(self.seen) > 1 << 18:
                 self.seen.clear()
             vote, best = self.index.vote(self.vector(items)) if self.index.size else (self.rate, -1)
-            p = 1 / (1 + math.exp(-(self.a * float(_logit(vote)) + self.b)))
+            p = 1 / (1 + math.exp(-(self.a * float(_logit(vote)) + self.b))) if self.both else self.rate
             self.seen[items] = (p, int(self.index.ids[best]) if best >= 0 else None)
         return self.seen[items]
 
@@ -239,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     for r in counted.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # at most one row a vocabulary term
         df[r["t"]] += r["count"]
     idf = np.log((1 + total) / df) + 1
-    model = spark.sparkContext.broadcast((examples, idf))
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, examples, idf))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
@@ -251,16 +252,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest_example")
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
 def _model(shared) -> Model:
-    """One model a worker and broadcast."""
-    key = getattr(shared, "id", None) or id(shared)
-    if key not in _MODELS:
+    """Built once a worker for each broadcast, which has a name of its own: workers outlive queries."""
+    name, examples, idf = shared.value
+    if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Model(*shared.value)
-    return _MODELS[key]
+        _MODELS[name] = Model(examples, idf)
+    return _MODELS[name]
 
 
 def query(spark, sf_dir):
