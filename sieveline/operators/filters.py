@@ -57,7 +57,7 @@ def contains(doc: Column, wanted: Any) -> Column:
         return reduce(lambda a, b: a & b, [contains(_member(doc, k), v) for k, v in wanted.items()], F.coalesce(shape, F.lit(False)))
     if isinstance(wanted, list):
         items = F.try_variant_get(doc, "$", "array<variant>")
-        each = [F.coalesce(F.exists(items, lambda x, v=v: contains(x, v)), F.lit(False)) for v in wanted]
+        each = [F.coalesce(F.exists(items, _holds(v)), F.lit(False)) for v in wanted]
         return reduce(lambda a, b: a & b, each, items.isNotNull())
     text = F.to_json(doc)
     if isinstance(wanted, (int, float)) and not isinstance(wanted, bool):
@@ -69,6 +69,10 @@ def contains(doc: Column, wanted: Any) -> Column:
     return F.coalesce(text == F.lit(json.dumps(wanted)), F.lit(False))
 
 
+def _holds(wanted: Any):
+    return lambda x: contains(x, wanted)
+
+
 def _member(doc: Column, key: str) -> Column:
     quoted = key.replace("\\", "\\\\").replace("'", "\\'")
     return F.try_variant_get(doc, f"$['{quoted}']", "variant")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -168,8 +169,6 @@ def cross_encoder(ranked: DataFrame, k: int, scorer: Callable[[list[str], list[s
 
     if scorer is None:
         raise ProviderUnavailableError("no cross-encoder model is installed; pass a scorer")
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(q: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), c.tolist()), dtype="float64")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def pdf(spark: SparkSession, root: str, extract=None, **options) -> DataFrame:
     """PDF files through ``extract(bytes) -> (pages, title)``; no PDF library is bundled, so one has to be passed."""
     if extract is None:
         raise ProviderUnavailableError("reading PDF needs an extractor: pass extract=function(bytes) -> (list of page texts, title)")
-    import pandas as pd
-
     @F.pandas_udf("struct<text: string, title: string, pages: array<struct<page: int, start: int>>, error: string>")
     def read(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([pdf_text(bytes(b), extract) for b in raw], columns=["text", "title", "pages", "error"])
