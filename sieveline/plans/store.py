@@ -6,6 +6,7 @@ writer at a time.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,7 @@ class Store:
     TABLES = ("documents", "chunks", "vectors")
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, (path if "://" in path else os.path.abspath(path)).rstrip("/")
         jvm = spark.sparkContext._jvm
         self._file = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         self._fs = self._file("CURRENT").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
