@@ -67,7 +67,7 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "role" and value in _BOILER_ROLES:
             return True
-        if key in ("class", "id") and any(w in _BOILER_NAMES for w in _NAME.findall(value)) and not (in_article and "header" in value and tag in _HEADINGS):
+        if key in ("class", "id") and any(w in _BOILER_NAMES and not (in_article and w == "header") for w in _NAME.findall(value)):
             return True
     return False
 
