@@ -18,7 +18,10 @@ array of the whole corpus is built: strings that can't be equal never meet.
    collapses equal pieces, and of those that share a context with another it
    builds a suffix array by induced sorting and the permuted common prefixes;
    neighbours in the array with a common prefix of 100 are equal windows, of
-   which all but the first go.
+   which all but the first go. Where a minimizer has more than ``HOT_KINDS``
+   different segments (a passage in very many documents differs at its borders
+   in each), a context would still gather them all; their windows are told
+   apart by 128-bit hashes instead, which spread evenly, one a block and kind.
 4. Blocks take the verdicts together and cut the texts.
 
 Copies never multiply: equal segments collapse in the block before anything is
@@ -47,6 +50,7 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
 CLASSES = ((0, 34), (34, SPAN))  # windows by the minimizer's offset
 PIECE = 1 << 18
+HOT_KINDS = 1000
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _C = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -142,6 +146,31 @@ class Block:
         self.first = np.zeros(len(rank), bool)
         self.first[rank[new]] = True
 
+    def windows(self, runs: np.ndarray):
+        """All windows of runs in order: run, number in the run, both hashes, whether it is the block's first of its kind."""
+        n = self.end[runs] - self.start[runs]
+        run = np.repeat(runs, n)
+        k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        at = self.start[run] + k
+        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
+        a, b = (np.full(len(at), c, np.uint64) for c in _C[:2])
+        for d in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            w = words[at + d]
+            for h, c in ((a, _C[2]), (b, _C[3])):
+                h ^= h >> _U(29)
+                h += w
+                h *= c
+        for h in (a, b):
+            h ^= h >> _U(32)
+            h *= _C[4]
+            h ^= h >> _U(29)
+        order = np.lexsort((np.arange(len(at)), b, a))
+        new = np.ones(len(at), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        first = np.zeros(len(at), bool)
+        first[order[new]] = True
+        return run, k, a, b, first
+
 
 def _pack(*arrays: np.ndarray) -> bytes:
     return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
@@ -190,10 +219,14 @@ def _announce(shards: int):
     return run
 
 
-ALL, CONTESTED = 1, 2
+ALL, CONTESTED, HOT = 1, 2, 3
+
+
+def _answer(hot: int):
+    return lambda table: _verdicts(table, hot)
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _verdicts(table: pa.Table, hot: int) -> pa.Table:
     """(block, packed run and verdict) for each first segment that is repeated or contested."""
     block, (gram, seg, doc, run) = _gather(table, np.uint64, np.uint64, np.int64, np.uint32)
     order = np.lexsort((run, block, doc, seg, gram))
@@ -204,63 +237,96 @@ def _answer(table: pa.Table) -> pa.Table:
     new_s = new_g.copy()
     new_s[1:] |= s[1:] != s[:-1]
     kinds = np.bincount(np.cumsum(new_g) - 1, new_s)[np.cumsum(new_g) - 1] if n else np.zeros(0)
-    verdict = np.where(~new_s, ALL, np.where(kinds > 1, CONTESTED, 0)).astype(np.uint8)
+    verdict = np.where(~new_s, ALL, np.where(kinds > hot, HOT, np.where(kinds > 1, CONTESTED, 0))).astype(np.uint8)
     told = verdict > 0
     at = order[told]
     return _rows("block", block[at], None, run[at], verdict[told])
 
 
+_SENT = {"shard": pa.int64(), "hot": pa.bool_(), "block": pa.int64(), "payload": pa.binary()}
+
+
 def _contest(shards: int):
-    """The bytes of contested segments, by class and shared context."""
+    """The bytes of contested segments, by class and shared context; of hot ones the windows' hashes, by hash."""
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        empty = _rows("shard", np.zeros(0, np.int64), 0)
-        if not docs.num_rows or not told.num_rows:
-            return empty
-        _, (runs, verdict) = _gather(told, np.uint32, np.uint8)
-        runs = np.sort(runs[verdict == CONTESTED]).astype(np.int64)
-        if not len(runs):
-            return empty
-        b = Block(docs)
-        data = b.data
-        power = np.full(LENGTH, _U(_BASE), np.uint64)
-        power = np.multiply.accumulate(power)
-        out = []
-        for c, (lo, hi) in enumerate(CLASSES):
-            # Windows from start to stop have the minimizer lo to hi-1 bytes in.
-            start = np.maximum(b.start[runs], b.at[runs] - hi + 1)
-            stop = np.minimum(b.end[runs], b.at[runs] - lo + 1)
-            has = start < stop
-            if not has.any():
-                continue
-            r, s, e, p = runs[has], start[has], stop[has], b.at[runs][has]
-            width = LENGTH - (hi - 1 - lo)
-            shared = data[(p - lo)[:, None] + np.arange(width)[None, :]].astype(np.uint64)
-            ctx = ((shared + _U(1)) * power[:width]).sum(axis=1, dtype=np.uint64)
-            ctx ^= ctx >> _U(31)
-            ctx = (ctx * _C[1]) ^ b.gram[r] ^ _U(c + 1)
-            out.append((ctx, b.keys[b.doc[r]], r, s, e))
-        ctx, doc, r, s, e = (np.concatenate(x) for x in zip(*out))
-        shard = ((ctx >> _U(9)) % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        block = docs.column("block")[0].as_py()
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        keys, payload = [], []
-        for at in np.split(order, cuts):
-            text = b"".join([data[x : y + LENGTH - 1].tobytes() for x, y in zip(s[at].tolist(), e[at].tolist())])
-            keys.append(int(shard[at[0]]))
-            payload.append(_pack(ctx[at], doc[at], r[at].astype(np.uint32), (s[at] - b.start[r[at]]).astype(np.uint8), (e[at] - s[at]).astype(np.uint8)) + text)
-        return pa.table({"shard": pa.array(keys, pa.int64()), "block": pa.array([block] * len(keys), pa.int64()), "payload": pa.array(payload, pa.binary())})
+        rows: list[tuple[int, bool, bytes]] = []
+        if docs.num_rows and told.num_rows:
+            _, (runs, verdict) = _gather(told, np.uint32, np.uint8)
+            of = lambda v: np.sort(runs[verdict == v]).astype(np.int64)
+            b = Block(docs) if (verdict > ALL).any() else None
+            if len(r := of(CONTESTED)):
+                rows += _pieces(b, r, shards)
+            if len(r := of(HOT)):
+                rows += _hashes(b, r, shards)
+        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        cols = [*zip(*rows)] or [(), (), ()]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array([block] * len(rows), pa.int64()), pa.array(cols[2], pa.binary())], list(_SENT))
 
     return run
 
 
+def _pieces(b: Block, runs: np.ndarray, shards: int) -> list[tuple[int, bool, bytes]]:
+    data = b.data
+    power = np.multiply.accumulate(np.full(LENGTH, _U(_BASE), np.uint64))
+    out = []
+    for c, (lo, hi) in enumerate(CLASSES):
+        # Windows from start to stop have the minimizer lo to hi-1 bytes in.
+        start = np.maximum(b.start[runs], b.at[runs] - hi + 1)
+        stop = np.minimum(b.end[runs], b.at[runs] - lo + 1)
+        has = start < stop
+        if not has.any():
+            continue
+        r, s, e, p = runs[has], start[has], stop[has], b.at[runs][has]
+        width = LENGTH - (hi - 1 - lo)
+        shared = data[(p - lo)[:, None] + np.arange(width)[None, :]].astype(np.uint64)
+        ctx = ((shared + _U(1)) * power[:width]).sum(axis=1, dtype=np.uint64)
+        ctx ^= ctx >> _U(31)
+        ctx = (ctx * _C[1]) ^ b.gram[r] ^ _U(c + 1)
+        out.append((ctx, b.keys[b.doc[r]], r, s, e))
+    ctx, doc, r, s, e = (np.concatenate(x) for x in zip(*out))
+    rows = []
+    for shard, at in _split(((ctx >> _U(9)) % _U(shards)).astype(np.int64)):
+        text = b"".join([data[x : y + LENGTH - 1].tobytes() for x, y in zip(s[at].tolist(), e[at].tolist())])
+        rows.append((shard, False, _pack(ctx[at], doc[at], r[at].astype(np.uint32), (s[at] - b.start[r[at]]).astype(np.uint8), (e[at] - s[at]).astype(np.uint8)) + text))
+    return rows
+
+
+def _hashes(b: Block, runs: np.ndarray, shards: int) -> list[tuple[int, bool, bytes]]:
+    run, k, x, y, first = b.windows(runs)
+    run, k, x, y = run[first], k[first], x[first], y[first]
+    doc = b.keys[b.doc[run]]
+    return [(shard, True, _pack(x[at], y[at], doc[at], run[at].astype(np.uint32), k[at].astype(np.uint8))) for shard, at in _split(((x >> _U(9)) % _U(shards)).astype(np.int64))]
+
+
+def _split(shard: np.ndarray):
+    """(shard, indices) of each shard that occurs."""
+    order = np.argsort(shard, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        yield int(shard[at[0]]), at
+
+
+_HASH_TYPES = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+
+
+def _settle_hot(table: pa.Table) -> pa.Table:
+    """All but the first of equal windows."""
+    block, (x, y, doc, run, k) = _gather(table, *_HASH_TYPES)
+    order = np.lexsort((k, run, block, doc, y, x))
+    again = np.zeros(len(order), bool)
+    again[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+    i = order[again]
+    return _rows("block", block[i], None, run[i], k[i], np.ones(len(i), np.uint8))
+
+
 _PIECE_TYPES = (np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
 _HEAD = sum(np.dtype(t).itemsize for t in _PIECE_TYPES)
 
 
 def _settle(table: pa.Table) -> pa.Table:
     """(block, packed run, first window, windows) of repeats among the pieces of one shard."""
+    if table.column("hot")[0].as_py():
+        return _settle_hot(table)
     raws = table.column("payload").to_pylist()
     block, (ctx, doc, run, off, wins) = _gather(table, *_PIECE_TYPES)
     texts: list[bytes] = []
@@ -326,6 +392,7 @@ def _cut(key, docs: pa.Table, told: pa.Table) -> pa.Table:
     b = Block(docs)
     edge = np.zeros(len(b.data) + 1, np.int32)
     whole = ~b.first
+    hot: list[np.ndarray] = []
     if told.num_rows:
         for raw, settled in zip(told.column("payload").to_pylist(), told.column("settled").to_pylist()):
             if settled:
@@ -335,6 +402,12 @@ def _cut(key, docs: pa.Table, told: pa.Table) -> pa.Table:
             else:
                 r, verdict = _unpack(raw, np.uint32, np.uint8)
                 whole[r[verdict == ALL]] = True
+                hot.append(r[verdict == HOT].astype(np.int64))
+    if len(r := np.sort(np.concatenate(hot)) if hot else ()):
+        run, k, _, _, first = b.windows(r)
+        at = b.start[run[~first]] + k[~first]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + LENGTH, -1)
     r = np.flatnonzero(whole)
     np.add.at(edge, b.start[r], 1)
     np.add.at(edge, b.end[r] + LENGTH - 1, -1)
@@ -354,7 +427,7 @@ def _cut(key, docs: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip((b.ids, np.diff(o), removed, n_spans, digest), types)], names)
 
 
-def repeats(docs: DataFrame, blocks: int | None = None, shards: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, blocks: int | None = None, shards: int | None = None, hot: int = HOT_KINDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row.
 
     blocks and shards follow ``spark.sql.shuffle.partitions`` (4 and 2 a
@@ -367,9 +440,9 @@ def repeats(docs: DataFrame, blocks: int | None = None, shards: int | None = Non
     rows = rows.select("id", "text", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(blocks)).alias("block"))
     grouped = lambda: rows.groupBy("block")
     said = grouped().applyInArrow(_announce(shards), "shard bigint, block bigint, payload binary")
-    told = said.groupBy("shard").applyInArrow(_answer, _BLOCK_SCHEMA)
-    sent = grouped().cogroup(told.groupBy("block")).applyInArrow(_contest(shards), "shard bigint, block bigint, payload binary")
-    settled = sent.groupBy("shard").applyInArrow(_settle, _BLOCK_SCHEMA)
+    told = said.groupBy("shard").applyInArrow(_answer(hot), _BLOCK_SCHEMA)
+    sent = grouped().cogroup(told.groupBy("block")).applyInArrow(_contest(shards), "shard bigint, hot boolean, block bigint, payload binary")
+    settled = sent.groupBy("shard", "hot").applyInArrow(_settle, _BLOCK_SCHEMA)
     both = told.select("block", "payload", F.lit(False).alias("settled")).unionByName(settled.select("block", "payload", F.lit(True).alias("settled")))
     return grouped().cogroup(both.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
