@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_repeats": repeats.sql(),
     "op4_quality_rules": quality.sql(),
     "op5_url_filters": urls.sql(),
     "op8_mixing": mixing.sql(),

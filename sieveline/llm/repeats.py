@@ -449,3 +449,17 @@ def repeats(docs: DataFrame, blocks: int | None = None, shards: int | None = Non
 
 def query(spark, sf_dir):
     return repeats(docs_table(spark, sf_dir))
+
+
+def sql(table: str = "documents") -> str:
+    """The same rows in DuckDB, from every window's text in hexadecimal."""
+    return f"""
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM {table}),
+    w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM t))),
+    d AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, TRUE) AS fresh FROM w WHERE k > 1),
+    g AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM d),
+    r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY doc_id, g),
+    e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, n FROM t)),
+    p AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (e.a - f)), '' ORDER BY f) AS kept FROM e JOIN t USING (doc_id) GROUP BY doc_id),
+    c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN p USING (doc_id) LEFT JOIN c USING (doc_id)"""
