@@ -12,7 +12,7 @@ three window expressions over the table of leaves do it, without a loop.
 A leaf takes whole epochs of all its documents and then a prefix, by tokens, of
 the next epoch in seeded hash order. The prefix is found without sorting a
 leaf: sums by hash bucket decide all buckets but the one where the prefix ends,
-and only that bucket's rows are ordered.
+and only that bucket's rows are shuffled and ordered.
 
 Defined cases: null domain, language or source are leaves of their own with the
 default weight; null or empty texts have no tokens and are never selected;
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import docs_table
+from .common import Saved, docs_table
 
 WS = r"[^\x20\x09-\x0D]+"
 #: Weights among siblings; what isn't named has the weight of "*".
@@ -37,6 +37,7 @@ SOURCE_WEIGHTS = {"src0": 3.0, "*": 1.0}
 #: Budget in tokens as a share of all tokens; most times that a document may be taken; seed of the order.
 BUDGET_SHARE, MAX_EPOCHS, SEED = 1.0, 4, "mix-1"
 BUCKET_HEX = 3  # 4,096 buckets a leaf
+MAX_BROADCAST_LEAVES = 20_000
 
 
 def domain_of(source):
@@ -80,44 +81,83 @@ def budgets(leaves: DataFrame, total, max_epochs: int = MAX_EPOCHS, weights=(DOM
     return t.select("domain", "lang", "source", "tokens", F.floor(F.round("b3", 6)).cast("bigint").alias("budget"))
 
 
-def select(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain=domain_of, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), bucket_hex: int = BUCKET_HEX) -> DataFrame:
-    """One row per document and epoch taken: ``doc`` (the whole input row), ``epoch`` from 0, ``n_tokens``, ``domain``."""
-    rows = docs.select(
+KEY = ["domain", "lang", "source"]
+
+
+def _same(t: DataFrame, other: DataFrame):
+    e = F.lit(True)
+    for c in KEY:
+        e = e & t[c].eqNullSafe(other[f"_{c}"])
+    return e
+
+
+def _renamed(t: DataFrame, *more: str) -> DataFrame:
+    return t.select(*[F.col(c).alias(f"_{c}") for c in KEY], *more)
+
+
+def tokens_of(docs: DataFrame, domain=domain_of) -> DataFrame:
+    """(id, domain, lang, source, n_tokens), one row per document that has tokens, as a table: the texts are read and counted once."""
+    return Saved(_keyed(docs, domain).select("id", *KEY, "n_tokens").filter("n_tokens > 0"), "mix").df
+
+
+def _keyed(docs: DataFrame, domain) -> DataFrame:
+    return docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
         F.col("doc_id").cast("bigint").alias("id"),
         domain(F.col("source")).alias("domain"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WS)), F.lit(0)).cast("bigint").alias("n_tokens"),
-    ).filter("n_tokens > 0")
-    key = ["domain", "lang", "source"]
-    leaves = rows.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves, F.floor(F.round(F.col("all_tokens") * F.lit(budget_share), 6)).cast("double"), max_epochs, weights)
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in key], F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("part"))
-    same = lambda t, c: t[c].eqNullSafe(F.col(f"_{c}"))
-    joined = rows.join(plan, same(rows, "domain") & same(rows, "lang") & same(rows, "source")).drop("_domain", "_lang", "_source")
+    )
+
+
+def _hashed(rows: DataFrame, plan: DataFrame, seed: str, bucket_hex: int) -> DataFrame:
+    """rows with their leaf's plan, ``h`` (place in the order of the partial epoch) and its ``bucket``."""
+    joined = rows.join(plan, _same(rows, plan)).drop(*[f"_{c}" for c in KEY])
     joined = joined.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    joined = joined.withColumn("bucket", F.substring("h", 1, bucket_hex))
-    full = joined.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    # Sums by bucket: at most 16**bucket_hex rows a leaf.
-    sums = joined.filter("part > 0").groupBy(*key, "bucket", "part").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*key).orderBy("bucket"))
-    sums = sums.withColumn("upto", upto).filter("upto - n < part").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("bucket").alias("_bucket"), F.col("n").alias("_n"), "upto")
-    last = joined.filter("part > 0").join(sums, same(joined, "domain") & same(joined, "lang") & same(joined, "source") & (F.col("bucket") == F.col("_bucket")))
-    inside = last.filter("upto <= part")
-    edge = last.filter("upto > part").withColumn("cum", F.sum("n_tokens").over(W.partitionBy(*key).orderBy("h", "id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) + F.col("upto") - F.col("_n")).filter("cum <= part")
-    pick = lambda d: d.select("doc", "id", "domain", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens")
-    return pick(full).unionByName(pick(inside.withColumn("epoch", F.col("whole")))).unionByName(pick(edge.withColumn("epoch", F.col("whole"))))
+    return joined.withColumn("bucket", F.substring("h", 1, bucket_hex))
 
 
-def query(spark, sf_dir):
-    docs = docs_table(spark, sf_dir).select("doc_id", "lang", "source", "text")
-    return _slim(docs).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+def _bounded(plan: DataFrame, rows: int = MAX_BROADCAST_LEAVES) -> DataFrame:
+    """One row a leaf: broadcast after its size was checked, else joined by shuffle."""
+    return F.broadcast(plan) if plan.limit(rows + 1).count() <= rows else plan
+
+
+def cuts(counted: DataFrame, budget_share: float, max_epochs: int, seed: str, weights, bucket_hex: int) -> DataFrame:
+    """One row a leaf: whole epochs, tokens of the partial one, the bucket where its prefix ends and the tokens before that."""
+    leaves = counted.groupBy(*KEY).agg(F.sum("n_tokens").alias("tokens"))
+    plan = budgets(leaves, F.floor(F.round(F.col("all_tokens") * F.lit(budget_share), 6)).cast("double"), max_epochs, weights)
+    plan = Saved(_renamed(plan, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("part")), "mix-plan").df
+    # At most 16**bucket_hex rows a leaf, summed before the shuffle.
+    sums = _hashed(counted, _bounded(plan), seed, bucket_hex).groupBy(*KEY, "whole", "part", "bucket").agg(F.sum("n_tokens").alias("n"))
+    upto = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*KEY).orderBy("bucket"))).filter("upto > part")
+    edge = upto.groupBy(*KEY, "whole", "part").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    return Saved(_renamed(edge, "whole", "part", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")), "mix-cut").df
+
+
+def _chosen(rows: DataFrame, cut: DataFrame, seed: str, bucket_hex: int) -> DataFrame:
+    """rows times epochs. Only rows of the buckets where prefixes end are shuffled."""
+    at = _hashed(rows, _bounded(cut), seed, bucket_hex)
+    inside = at.withColumn("_n", F.col("whole") + (F.col("bucket") < F.col("edge")).cast("int")).filter("_n > 0 and n_tokens > 0")
+    inside = inside.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    last = at.filter("bucket = edge and part > before and n_tokens > 0")
+    order = W.partitionBy(*KEY).orderBy("h", "id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    last = last.withColumn("cum", F.sum("n_tokens").over(order) + F.col("before")).filter("cum <= part").withColumn("epoch", F.col("whole"))
+    pick = lambda d: d.select(*rows.columns, F.col("epoch").cast("int").alias("epoch"))
+    return pick(inside).unionByName(pick(last))
+
 
+def select(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain=domain_of, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), bucket_hex: int = BUCKET_HEX) -> DataFrame:
+    """One row per document and epoch taken: ``doc`` (the whole input row), ``id``, ``domain``, ``lang``, ``source``, ``n_tokens``, ``epoch`` from 0."""
+    cut = cuts(tokens_of(docs, domain), budget_share, max_epochs, seed, weights, bucket_hex)
+    return _chosen(_keyed(docs, domain), cut, seed, bucket_hex)
 
-def _slim(docs: DataFrame) -> DataFrame:
-    """``select`` for a caller that needs no text: the text ends at the scan, its token count alone goes on."""
-    return select(docs).select(F.col("id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens")
+
+def query(spark, sf_dir):
+    """The selection by number: texts are left at the scan, their counts go on."""
+    counted = tokens_of(docs_table(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+    cut = cuts(counted, BUDGET_SHARE, MAX_EPOCHS, SEED, (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), BUCKET_HEX)
+    return _chosen(counted, cut, SEED, BUCKET_HEX).select(F.col("id").alias("doc_id"), *KEY, "epoch", "n_tokens")
 
 
 def _case(col: str, table: dict[str, float]) -> str:
