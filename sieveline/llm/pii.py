@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, docs_table
+from .common import doc_text, docs_table, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -316,7 +316,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, thresholds = shared.value
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(1):
                 base, full = spans(t.as_py(), fit, thresholds)
@@ -346,7 +346,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, thresholds = shared.value
-        for b in batches:
+        for b in slices(batches):
             k = b.schema.get_field_index("text")
             texts = [masked(t, spans(t, fit, thresholds)[1]) for t in b.column(k).to_pylist()]
             cols = list(b.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, connected_components, doc_text, docs_table, shuffle_parts
+from .common import Saved, connected_components, doc_text, docs_table, shuffle_parts, slices
 
 RADIUS = 4
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -61,7 +61,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

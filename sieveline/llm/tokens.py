@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_table, shared_dir
+from .common import docs_table, shared_dir, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, version: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([count(t.as_py()) for t in b.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n, b.column(4)], ["doc_id", "source", "lang", "n_tokens", "n_chars"])
 

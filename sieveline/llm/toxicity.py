@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, doc_text, docs_table
+from .common import Saved, doc_text, docs_table, slices
 
 MAX_EXAMPLES = 6000
 MIN_CHI2, MIN_TOXIC = 25.0, 4
@@ -229,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             found = [sorted(known.counts(t.as_py()).items()) for t in b.column(1)]
             ids, tf = (pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, tf], ["doc_id", "ids", "tf"])
@@ -244,7 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
-        for b in batches:
+        for b in slices(batches):
             got = [m.score(tuple(zip(i, t))) for i, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "score", "nearest_example"])
 
