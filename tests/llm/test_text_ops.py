@@ -84,7 +84,7 @@ def test_trees_tell_formats_apart():
 
 
 def test_quality_matches_sql_and_cases(spark):
-    data = [*H.rows(), (600, "a b c d e f g h i j\n" * 9, *H.rows()[0][2:]), (601, "### $$$ x " * 30, *H.rows()[0][2:]), (602, "word " * 50_000, *H.rows()[0][2:])]
+    data = [*H.rows(), (600, "a b c d e f g h i j\n" * 9, *H.rows()[0][2:]), (601, "### $$$ x " * 30, *H.rows()[0][2:]), (602, "word " * 8_000, *H.rows()[0][2:])]
     docs = H.table(spark, data)
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = [tuple(r) for r in quality.quality(docs).select(*cols).collect()]
