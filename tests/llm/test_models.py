@@ -100,6 +100,41 @@ def test_leaks_found_and_clean_left_alone(spark):
     assert sorted((x["doc_id"] for x in clean.collect()), key=lambda v: (v is None, v or 0)) == sorted((i for i, _ in data if i not in {d for d, _ in brute}), key=lambda v: (v is None, v or 0))
 
 
+def test_hot_items_are_found_at_every_alignment():
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra", "fun", "gol") for b in ("a", "e", "ita", "ou") for c in ("n", "st", "rk", "l")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate((51, 59, 40, 24, 15))]
+    items = leaks.Items(rows)
+    number = leaks.Numbers(items.vocabulary)
+    texts, copies = [H.prose(r, 60) for _ in range(1500)], set()
+    for k, (_, text) in enumerate(rows):
+        for at in range(2 * leaks.STEP):
+            for changed in (0.0, 0.1):
+                own = [w if r.random() >= changed else "other" for w in text.split()]
+                copies.add((len(texts), k)) if not changed else None
+                texts.append(" ".join(["filler"] * (at + 160 * (at % 3)) + own + ["filler"] * r.randint(0, 90)))
+    docs = [number.of(t) for t in texts]
+    df = np.zeros(len(items.vocabulary), np.int64)
+    for ids in docs:
+        df[np.unique(ids[ids >= 0])] += 1
+    idf = items.weights(df, len(docs))
+    assert (idf == 0).any()  # the items are in so many documents that most of their words carry no weight
+    emb = np.diag(idf).astype(np.float32)
+    queries = np.array([emb[w].sum(axis=0) for w in items.words])
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    brute = {}
+    for d, ids in enumerate(docs):
+        for k in range(len(rows)):
+            for at in range(0, len(ids), leaks.STEP):
+                share, answer = leaks._verify(items, k, ids, at)
+                if share >= leaks.SURE or share >= leaks.MAYBE and answer:
+                    brute[d, k] = max(share, brute.get((d, k), 0))
+    assert copies <= brute.keys()
+    for weight, space in ((idf, emb), (np.zeros_like(idf), np.zeros_like(emb))):
+        got = {(d, k): v[1] for d, f in enumerate(leaks.search(docs, items, space, queries, weight)) for k, v in f.items()}
+        assert got == brute
+
+
 def test_leaks_empty(spark):
     docs, bench = H.table(spark), spark.createDataFrame([(1, "some words that are here and there in a row")], "item_id long, text string")
     assert leaks.matches(docs, bench.limit(0)).count() == 0
