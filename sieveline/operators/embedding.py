@@ -73,8 +73,9 @@ class Hashing:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions))
         for row, t in zip(out, texts):
-            for w in _WORD.findall((t or "").lower()):
-                np.add.at(row, *self._word(w))
+            if words := [self._word(w) for w in _WORD.findall((t or "").lower())]:
+                at, add = zip(*words)
+                row[:] = np.bincount(np.concatenate(at), np.concatenate(add), self.dimensions)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

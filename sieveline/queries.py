@@ -269,8 +269,8 @@ def preview_lines(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.preview(F.col("text"), 80).alias("line"))
 
 
-def _chunked(spark, d, name, table="documents", key="doc_id", **o):
-    rows = _t(spark, d, table).select(F.col(key).cast("string").alias("id"), F.col("text").alias("content"))
+def _chunked(spark, d, name, **o):
+    rows = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
     counter = o.get("counter", "approx")
     c = C.with_chunks(rows, chunkers.create(name, **o), counter=counter, name=name)
     return c.select(F.col("document_id").cast("bigint").alias("doc_id"), F.col("position").cast("bigint").alias("position"), "start_char", "end_char", F.sha2("content", 256).alias("digest"), "chunk_id")
@@ -301,7 +301,7 @@ def chunk_sentence(spark, d):
 
 
 def chunk_semantic(spark, d):
-    return _chunked(spark, d, "semantic", max_chunk_size=256, dimensions=64, table="benchmark", key="item_id")
+    return _chunked(spark, d, "semantic", max_chunk_size=256, dimensions=64)
 
 
 def chunk_hierarchical(spark, d):
@@ -328,7 +328,7 @@ def markdown_title(spark, d):
 def embed_hash(spark, d):
     """The digest stands for the vector: 6 digits of every coordinate."""
     v = embed(F.col("text"), "hash", dimensions=64)
-    return _t(spark, d, "benchmark").select("item_id", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ",").alias("vector"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ",").alias("vector"))
 
 
 def vector_normalize(spark, d):

@@ -1,12 +1,15 @@
 """Chunkers, embedder, retrieval, fusion, filters and metrics against plain Python."""
 
+import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline import queries as core
 from sieveline.errors import ConfigurationError, PluginNotFoundError, ProviderUnavailableError
 from sieveline.operators import chunking as C
 from sieveline.operators import metrics as M
@@ -219,3 +222,58 @@ def test_summaries(spark):
     now = spark.createDataFrame([("r1", "m", 0.4), ("r2", "m", 0.1), ("new", "m", 1.0), ("edge", "m", 0.48)], "run_id string, metric string, value double")
     v = {x["run_id"]: x for x in M.compare(base, now).collect()}
     assert {k: x["verdict"] for k, x in v.items()} == {"r1": "regressed", "r2": "improved", "gone": "missing", "new": "added", "edge": "same"} and v["r2"]["relative"] is None
+
+
+def _slow_vector(text, dimensions):
+    """The hashing embedder, feature by feature."""
+    out = [0.0] * dimensions
+    for w in re.findall(r"\w+", (text or "").lower()):
+        marked = f"^{w}$"
+        grams = [marked[i : i + 3] for i in range(len(marked) - 2)] if len(w) > 3 else []
+        for feature, size in [("w:" + w, 1.0), *[("c:" + g, 0.35) for g in grams]]:
+            d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+            out[int.from_bytes(d[:4], "big") % dimensions] += size if d[4] % 2 else -size
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out] if norm else out
+
+
+def _slow_semantic(text, dimensions, size):
+    """Texts of the chunks: split at gaps above the 95th percentile, then at the widest gap while too large."""
+    sents = [text[a:b] for a, b in C.sentence_spans(text)]
+    near = [_slow_vector(" ".join(sents[max(0, i - 1) : i + 2]), dimensions) for i in range(len(sents))]
+    gap = [round(1.0 - sum(x * y for x, y in zip(a, b)), 9) if any(a) and any(b) else 1.0 for a, b in zip(near, near[1:])]
+    limit = sorted(gap)[int(0.95 * (len(gap) - 1))] if gap else 0
+    above = sorted(gap)[min(len(gap) - 1, int(0.95 * (len(gap) - 1)) + 1)] if gap else 0
+    limit += (above - limit) * (0.95 * (len(gap) - 1) % 1) if gap else 0
+    groups = [[]]
+    for i, s in enumerate(sents):
+        if i and gap[i - 1] > limit:
+            groups.append([])
+        groups[-1].append(i)
+
+    def split(g):
+        if len(g) > 1 and sum(C.approx_count(sents[i]) for i in g) > size:
+            cut = max(g[:-1], key=lambda i: (gap[i], -i)) + 1
+            return split([i for i in g if i < cut]) + split([i for i in g if i >= cut])
+        return [g]
+
+    return [(x[0], x[-1]) for g in groups if g for x in split(g)], sents
+
+
+def test_semantic_chunks_and_vectors_cover_documents(spark, tmp_path):
+    r = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra") for b in ("a", "ita", "ou") for c in ("n", "st", "rk")]
+    long = " ".join(" ".join(r.choice(words) for _ in range(r.randint(3, 25))).capitalize() + "." for _ in range(400))
+    texts = [PROSE, PROSE, PROSE * 3, long, "One. Two. Three.", "word", "", None, " \n ", "ÉÉ ß. Ünder wörd!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x["doc_id"], x["position"]): x["digest"] for x in core.QUERIES["chunk_semantic"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        spans = C.sentence_spans(t or "")
+        for k, (a, b) in enumerate(_slow_semantic(t or "", 64, 256)[0]):
+            want[i, k] = hashlib.sha256(t[spans[a][0] : spans[b][1]].encode()).hexdigest()
+    assert got == want and sum(i == 3 for i, _ in want) > 20
+    vectors = {x["doc_id"]: [float(v) for v in x["vector"].split(",")] for x in core.QUERIES["embed_hash"](spark, str(tmp_path)).collect()}
+    assert vectors.keys() == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert np.allclose(vectors[i], _slow_vector(t, 64), atol=2e-6)
