@@ -135,6 +135,18 @@ def test_hot_items_are_found_at_every_alignment():
         assert got == brute
 
 
+def test_short_items_match_as_whole_sequences(spark):
+    items = [(1, "What is the capital of France?"), (2, "capital"), (3, "what is the capital of france"), (4, " ?! "), (5, "the end the end"), (6, "a much longer item that has more than eight words of its own")]
+    texts = ["So: what is the Capital, of France -", "what is the capital of Spain", "France what is the capital of", None, "what is the capital", "of France", "the end the end the end", "the end of the end", items[5][1]]
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if (w := leaks.words_of(x)) and f" {' '.join(w)} " in f" {' '.join(leaks.words_of(t))} "}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for some in (items, items[:5]):
+        bench = spark.createDataFrame(some, "item_id long, text string")
+        got = [(x["doc_id"], x["item_id"]) for x in leaks.matches(docs, bench).collect()]
+        assert sorted(got) == sorted(p for p in want if p[1] <= len(some)) and {(0, 1), (0, 2), (0, 3), (6, 5)} <= set(got)
+    assert {x["doc_id"] for x in leaks.clean(docs, bench).collect()} == {3, 5, 7, 8}
+
+
 def test_leaks_empty(spark):
     docs, bench = H.table(spark), spark.createDataFrame([(1, "some words that are here and there in a row")], "item_id long, text string")
     assert leaks.matches(docs, bench.limit(0)).count() == 0
