@@ -57,17 +57,17 @@ HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*([^?#]*)"
 
 
-def keys(url):
+def keys(url, depth: int = MAX_DEPTH):
     """Every pattern that could match a URL: the host's suffixes at dots, and the host and its path's prefixes at slashes.
 
-    Prefixes go as deep as ``MAX_DEPTH`` segments, the deepest that a pattern may have.
+    Prefixes go as deep as ``depth`` segments, those of the list's deepest pattern.
     """
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"^www\.", "")
     parts = F.split(host, r"\.")
     n = F.size(parts)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
     segs = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    m = F.least(F.size(segs), F.lit(MAX_DEPTH))
+    m = F.least(F.size(segs), F.lit(depth))
     prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segs, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(F.coalesce(host, F.lit("")) != "", F.concat(domains, prefixes))
 
@@ -78,7 +78,8 @@ def judge(captures: DataFrame, entries: DataFrame, bound: int = BOUND) -> DataFr
     iv = intervals(entries)
     if iv.limit(bound + 1).count() <= bound:
         iv = F.broadcast(iv)
-    asked = caps.select("url", "fetched_at", F.explode(keys(F.col("url"))).alias("pattern"))
+    depth = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    asked = caps.select("url", "fetched_at", F.explode(keys(F.col("url"), depth)).alias("pattern"))
     hit = asked.join(iv, "pattern").filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("pattern").alias("l"), (F.col("verdict") == "allow").cast("int").alias("a"), "verdict", "pattern", "valid_from")
     best = hit.groupBy("url", "fetched_at").agg(F.max(rank).alias("r"))

@@ -138,6 +138,15 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var t="</p>";</scri
 <section id="comments"><p>I think the article is good and all that</p></section><aside>side of the page</aside><footer>(c) the site</footer></body></html>"""
 
 
+def test_url_patterns_of_any_depth(spark):
+    path = "/".join(f"s{k}" for k in range(12))
+    urls_ = [f"https://a.com/{path}", f"https://a.com/{path}/more", "https://a.com/s0", f"https://b.com/{path}"]
+    caps = spark.createDataFrame([(i, u, "2024-05-01") for i, u in enumerate(urls_)], "page_id long, url string, fetched_at string")
+    entries = spark.createDataFrame([(f"a.com/{path}", "block", "add", "2024-01-01"), ("a.com", "allow", "add", "2024-01-01")], "pattern string, verdict string, action string, listed_on string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(caps, entries).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "unlisted"}
+
+
 def test_html_blocks():
     assert html.main_text(PAGE) == "A & B\nFirst para­graph, with more.\nSecond one.\nThird <one> here"
     for x in (None, "", "<", "<p", "</div></p>", "plain words", "<div><div><nav>", "<p>" * 2000):
