@@ -25,10 +25,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id. A row that shares its doc_id with another counts with it."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group stays: that with the smallest doc_id, null being the largest, and of these that with the lowest hash of its text.
+
+    Rows are told apart by a number written beside them, so ids that are null or repeated do no harm.
+    """
+    rows = Saved(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-rows").df
+    found = simhash.near_duplicates(rows.select(F.col("_dedup_row").alias("doc_id"), "text")).filter("n_near > 0")
+    rank = rows.select("_dedup_row", F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", F.xxhash64("text").alias("h"), "_dedup_row").alias("rank"))
+    copies = Saved(found.select(F.col("doc_id").alias("_dedup_row"), "component_id").join(rank, "_dedup_row"), "dedup-copies").df
+    first = copies.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._dedup_row")
+    gone = copies.select("_dedup_row").join(first, "_dedup_row", "left_anti")
+    return rows.join(gone, "_dedup_row", "left_anti").drop("_dedup_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,6 +147,16 @@ def test_short_items_match_as_whole_sequences(spark):
     assert {x["doc_id"] for x in leaks.clean(docs, bench).collect()} == {3, 5, 7, 8}
 
 
+def test_dedup_stage_keeps_one_row_of_each_group(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    r = random.Random(4)
+    a, b, c, d = (H.prose(r, 80) for _ in range(4))
+    data = [(None, a), (None, a), (3, a), (None, b), (None, b), (5, c), (5, c), (5, d), (None, H.prose(r, 80)), (9, H.prose(r, 80))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=H.key) == sorted([(3, a), (None, b), (5, c), (5, d), *data[8:]], key=H.key)
+
+
 def test_leaks_empty(spark):
     docs, bench = H.table(spark), spark.createDataFrame([(1, "some words that are here and there in a row")], "item_id long, text string")
     assert leaks.matches(docs, bench.limit(0)).count() == 0
