@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_table, shared_dir, slices
+from .common import Saved, docs_table, shared_dir, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -99,7 +99,7 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share: one sub-folder per committed batch, or a compacted one with the names it holds."""
+    """Totals in a folder that all executors share: one sub-folder per committed batch; they are not compacted."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -116,7 +116,7 @@ class Rollup:
 
     def batches(self) -> set[str]:
         """Names of all batches applied so far."""
-        return {b for n in self._names() for b in n.split("+")}
+        return set(self._names())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies the batch once; False if it was there already."""
@@ -140,11 +140,17 @@ class Rollup:
 
 
 def query(spark, sf_dir):
-    """All documents as one batch of inserts, committed twice: the second commit changes nothing."""
+    """All documents inserted, with characters as a first count, revised to their tokens, deleted and inserted again.
+
+    Each batch holds every document and is committed twice: the second commit changes nothing.
+    """
     import uuid
 
-    changes = count_tokens(docs_table(spark, sf_dir)).withColumn("op", F.lit("insert"))
+    counts = Saved(count_tokens(docs_table(spark, sf_dir)), "token-counts").df
     store = Rollup(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    store.commit("load", changes)
-    store.commit("load", changes)
+    first = counts.withColumn("n_tokens", F.col("n_chars")).withColumn("op", F.lit("insert"))
+    revised = counts.withColumns({"old_tokens": F.col("n_chars"), "old_chars": F.col("n_chars"), "op": F.lit("revise")})
+    for batch, changes in (("load", first), ("recount", revised), ("remove", counts.withColumn("op", F.lit("delete"))), ("return", counts.withColumn("op", F.lit("insert")))):
+        store.commit(batch, changes)
+        store.commit(batch, changes)
     return store.totals()

@@ -32,6 +32,25 @@ def test_rollup_of_deltas_is_idempotent(spark, tmp_path):
     assert got == {("a", "en", "v1", 1, 12, 41), (None, None, "v1", 1, 1, 4)}
 
 
+def test_token_query_commits_all_kinds_of_changes(spark, monkeypatch):
+    seen, commit = {}, tokens.Rollup.commit
+
+    def counted(self, batch, changes):
+        seen.setdefault(batch, {(r["op"], r["count"]) for r in changes.groupBy("op").count().collect()})
+        return commit(self, batch, changes)
+
+    monkeypatch.setattr(tokens.Rollup, "commit", counted)
+    d = "/root/testdata/sf0.001"
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in tokens.query(spark, d).collect()}
+    want = {}
+    for r in tokens.count_tokens(spark.read.parquet(f"{d}/documents.parquet")).collect():
+        k = r["source"], r["lang"]
+        want[k] = tuple(x + y for x, y in zip(want.get(k, (0, 0, 0)), (1, r["n_tokens"], r["n_chars"])))
+    assert got == want
+    n = sum(v[0] for v in want.values())
+    assert set.union(*seen.values()) == {("insert", n), ("revise", n), ("delete", n)}
+
+
 def test_token_query_on_empty(spark):
     assert tokens.deltas(tokens.count_tokens(H.table(spark, [])).selectExpr("*", "'insert' as op")).count() == 0
 
