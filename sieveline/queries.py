@@ -382,11 +382,13 @@ def _old_new(spark, d):
 
 
 def upsert_documents(spark, d):
+    """The documents of even number stand for a change set; the stored side is every source but src9."""
     old, new = _old_new(spark, d)
     return S.upsert_documents(old, new).select("id", "source_type", "source_id", "title", "created_at")
 
 
 def replace_chunks(spark, d):
+    """The first two turns of every third conversation stand for a change set; the stored side is the whole table."""
     old = _t(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("position"), "role")
     new = old.filter("document_id % 3 = 0 and position < 2").withColumn("role", F.lit("new"))
     return S.replace_chunks(old, new)
@@ -414,12 +416,14 @@ def delete_cascade(spark, d):
 
 
 def prune_missing(spark, d):
+    """A found side without every fifth document stands for a change set; the stored side is every source but src9."""
     old, _ = _old_new(spark, d)
     rows = old.withColumn("source_id", F.concat_ws("/", "source_id", F.col("id").cast("string")))
     return S.missing(rows, rows.filter("id % 5 <> 0"), "de").select("id", "source_id")
 
 
 def _sync(spark, d):
+    """Every fourth checksum as outdated and every fiftieth document as unreadable stand for a change set; all documents are found."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "lang", ids.checksum(F.col("source"), F.col("text")).alias("checksum"))
     known = docs.filter("lang <> 'es'").withColumn("checksum", F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.col("checksum")))
     found = docs.withColumn("error", F.when(F.col("doc_id") % 50 == 7, "unreadable"))
