@@ -126,6 +126,18 @@ def test_quality_matches_sql_and_cases(spark):
     assert quality.quality(H.table(spark, [])).count() == 0
 
 
+def test_quality_of_long_texts(spark):
+    long = H.prose(random.Random(6), 50_000)
+    data = [(600, long, *H.rows()[0][2:]), (601, "word " * 50_000, *H.rows()[0][2:])]
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in quality.quality(H.table(spark, data)).collect()}
+    for i, t in H.texts_of(data):
+        w, at = t.split(), {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        repeated = {p for v in at.values() if len(v) > 1 for k in v for p in range(k, k + 8)}
+        assert got[i] == (50_000, sum(map(len, w)), len(repeated))
+
+
 def test_quality_plan_has_no_shuffle_or_python(spark):
     plan = quality.quality(H.table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
