@@ -179,12 +179,80 @@ def test_url_patterns_of_any_depth(spark):
 
 
 def test_html_blocks():
-    assert html.main_text(PAGE) == "A & B\nFirst para­graph, with more.\nSecond one.\nThird <one> here"
-    for x in (None, "", "<", "<p", "</div></p>", "plain words", "<div><div><nav>", "<p>" * 2000):
+    assert html.main_text(PAGE) == "A & B\nFirst para\xadgraph, with more.\nSecond one.\nThird <one> here"
+    for x in (None, "", "<", "<p", "</div></p>", "plain words", "<div><div><nav>", "<p>" * 2000, "&#" + "9" * 6000 + ";", "<p a='x", "<!-- x", "<script>y"):
         html.main_text(x)
-    long = "the river and the stone of it was in the garden that is as it is on the way to a house"
-    page = f"<body><div><p>{long}</p><p>short</p><p>{long}</p></div><div><p>x</p><ul><li><a href=1>{'link ' * 20}</a></li></ul><p>y</p></div></body>"
-    assert html.main_text(page).split("\n") == [long, "short", long, "x"] or html.main_text(page).split("\n") == [long, "short", long]
+
+
+LONG = "the river and the stone of it was in the garden that is as it is on the way to a house"
+NAMES = "Ardo Belim Cavot Denza Elgar Fimur Gontas Hilvar Ipsen Jolka Kerrim Lodvan"
+
+
+def p(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def link(text):
+    return f"<a href='/x'>{text}</a>"
+
+
+def test_html_rules_decide_without_containers():
+    plain = lambda *x: html.main_text(f"<body>{''.join(x)}</body>").split("\n")
+    assert plain("<div>", p(LONG, "short", LONG), "</div><div>", p("x"), f"<ul><li>{link('link ' * 20)}</li></ul>", p("y"), "</div>") == [LONG, "short", LONG]
+    assert plain(p(link("Home"), "menu", NAMES), "<h1>Title</h1>", p(LONG, "By the author", "near it", LONG), p(link(LONG)), p("imprint")) == ["Title", LONG, "By the author", "near it", LONG]
+    assert plain(p("one", "two")) == [""]
+    # Nearer to bad than to good, nearer to good than to bad, and as far from both.
+    assert plain(p(LONG, "a", "b", "c", link("z"))) == [LONG, "a"]
+    assert plain(p(LONG, "a", "b", link("z"))) == [LONG, "a"]
+
+
+def test_html_rules_decide_inside_an_article():
+    art = lambda *x: html.main_text(f"<body>{p(link('nav'))}<article>{''.join(x)}</article>{p(link('more'))}</body>").split("\n")
+    assert art("<h1>Title</h1>", p("One short line.")) == ["Title", "One short line."]  # nothing decided: the prior
+    assert art(p(LONG, NAMES, "short")) == [LONG, NAMES, "short"]  # names inherit, they don't decide
+    assert art(p(LONG, link("Read more"), LONG)) == [LONG, LONG]  # link density
+    assert art(p(LONG), p(link(LONG) + " and the rest of it")) == [LONG, LONG + " and the rest of it"]
+    assert art(p(LONG, "a", link("b"), link("c"))) == [LONG, "a"]
+    found = html.blocks(f"<article>{p(LONG, NAMES, 'x', link('y'))}</article>")
+    assert html.labels(found) == [(True, "rules"), (True, "neighbours"), (True, "neighbours"), (False, "rules")]
+
+
+def test_html_priors_of_boilerplate():
+    for tag in ("nav", "aside", "footer", "header", "form", "div class='ad'", "div id=cookie-notice", "section class='user comments'", "div role='navigation'", "div hidden", "div style='display: none'", "dialog", "div class=sidebar"):
+        page = f"<body><{tag}>{p(LONG)}</{tag.split()[0]}><div>{p(LONG + ' indeed')}</div></body>"
+        assert html.main_text(page) == LONG + " indeed", tag
+    for tag in ("form method=post", "div class='sidebar-left'", "div id=header"):  # around the whole page it says nothing
+        page = f"<body><{tag}>{p(LONG)}<div class=comments>{p(LONG + ' yes')}</div></{tag.split()[0]}></body>"
+        assert html.main_text(page) == LONG, tag
+    assert html.main_text(f"<article><header><h1>T</h1></header>{p(LONG)}<div class=ad>{p(LONG)}</div>{p('end')}</article>") == f"T\n{LONG}\nend"
+    assert html.main_text("<article><p>a &am<b>p; b</b> &#x41;&#0000000066;&nbsp;c</p></article>") == "a &amp; b AB c"
+
+
+def simple_text(page):
+    """Another implementation for pages whose article is marked: all its blocks, split at tags of blocks."""
+    import html as stdlib
+
+    body = re.search(r"(?s)<article>(.*)</article>", page).group(1)
+    parts = re.split(r"</?(?:p|h1)>", body)
+    return "\n".join(t for x in parts if (t := " ".join(stdlib.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x))).split())))
+
+
+def test_html_query_against_another_implementation(spark):
+    d = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = html.query(spark, d).collect()
+    assert len(got) == len(pages) and all(r["text"] == simple_text(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
+    why = [w for x in pages.values() for _, w in html.labels(html.blocks(x))]
+    assert 3 * why.count("rules") >= len(why) and why.count("neighbours") > 0
+
+
+def test_html_scan_is_linear():
+    import time
+
+    for page in ("<a " * 1_700_000, "<!x" * 1_700_000, "</b>" * 1_250_000, "<b><div>" * 60_000 + "</b>" * 100_000, "<a x='" * 200_000 + ">", '<a x=">" ' * 100_000, "<form>" * 200_000, "<title>" * 200_000 + "x>", "<div>" + "<i>" * 100_000 + "<p></p>" * 100_000, "<a class='" * 100_000 + "<p>"):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 20, page[:40]
 
 
 def test_html_table(spark):
