@@ -102,6 +102,39 @@ def test_trees_tell_formats_apart():
     assert not score("came on 2021-10-12 to us", "2021-10-12", "phone")
 
 
+def test_added_spans_on_unseen_examples():
+    found = pii.measured()
+    assert set(found) == {"secret", "phone", "email", "ip", "iban", "national_id"}
+    assert all(precision >= 0.87 and share >= 0.5 for precision, share in found.values()), found
+    limits = {k: v for k, v in pii.model()[1].items() if k in found}
+    assert len({round(v, 3) for v in limits.values()}) == len(limits) and all(0 < v < 1 for v in limits.values()), limits
+
+
+def test_generators_propose_and_trees_decide():
+    fit, limits = pii.model()
+    added = lambda t: [(k, t[s:e]) for k, s, e in pii.spans(t, fit, limits)[1] if (k, s, e) not in pii.base_spans(t)]
+    for text, kind, part in (
+        ("My SSN is 123-45-6789 ok", "national_id", "123-45-6789"), ("DNI 12345678Z", "national_id", "12345678Z"),
+        ("IBAN DE89 3704 0044 0532 0130 00 IS mine", "iban", "DE89 3704 0044 0532 0130 00"), ("address 2001:db8::ff00:42:8329 up", "ip", "2001:db8::ff00:42:8329"),
+        ("john at example dot com", "email", "john at example dot com"), ("mail john [at] example [dot] com", "email", "john [at] example [dot] com"),
+        ("call 030 1234567 now", "phone", "030 1234567"), ("call 555-123-4567", "phone", "555-123-4567"),
+    ):
+        assert (kind, part) in added(text), (text, added(text))
+    for text in ("order 555-123-4567", "commit 3f2a9c1b7d3f2a9c1b7d3f2a9c1b7d3f2a9c1b7d", "came at 12:30:45 to us", "look at the dot there", "on 2021-10-12", "12345678A", "", "IBAN DE00 3704 0044 0532 0130 00 then 9"):
+        assert [x for x in added(text) if x[0] != "phone"] == [] and not (text.startswith(("order", "on ")) and added(text)), (text, added(text))
+    # What is inside or across a base span stays out, however many spans lie between.
+    text = "token = " + "a1." * 20 + "x@b.co.uk 1.1.1.1 1.1.1.2 1.1.1.3 1.1.1.4 1.1.1.5"
+    base, full = pii.spans(text, fit, limits)
+    kept = sorted((s, e) for _, s, e in full)
+    assert set(base) <= set(full) and all(a[1] <= b[0] for a, b in zip(kept, kept[1:]))
+    r = random.Random(2)
+    for _ in range(300):
+        t = " ".join(r.choice(["a@b.com", "1.2.3.4", "4864330342310537", "+1 (337) 555-7349", "token=9f8e7d6c5b4a3928a", "x", "030 1234567", "DE89370400440532013000", "a at b dot com", "1.2.3.4.5@c.de", "2001:db8::1"]) for _ in range(12)).replace(" ", r.choice((" ", "", ",")))
+        base, full = pii.spans(t, fit, limits)
+        added_ = [x for x in full if x not in base]
+        assert set(base) <= set(full) and not any(x[1] < y[2] and y[1] < x[2] for i, x in enumerate(added_) for y in added_[i + 1 :] + base), t
+
+
 def test_quality_matches_sql_and_cases(spark):
     data = [*H.rows(), (600, "a b c d e f g h i j\n" * 9, *H.rows()[0][2:]), (601, "### $$$ x " * 30, *H.rows()[0][2:]), (602, "word " * 8_000, *H.rows()[0][2:])]
     docs = H.table(spark, data)
