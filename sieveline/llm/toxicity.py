@@ -1,37 +1,38 @@
 """Operator 10: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 1. A bounded sample of labelled rows (``MAX_EXAMPLES``, lowest hash first) gives
-   the vocabulary: words and word beginnings that occur in toxic examples
-   beyond chance (chi-square at least ``MIN_CHI2``). Word beginnings catch
-   inflected and compounded forms.
-2. One pass over all documents turns each text into counts of those terms;
-   document frequencies, and so the weights, cover the whole corpus.
-3. Examples become TF-IDF vectors with one more coordinate for the rest of the
-   text, so that one chance hit in a clean text stays near the clean ones. Equal
-   vectors collapse into a class with its labels.
-4. The classes are a block-max inverted index: postings in blocks of ``BLOCK``
-   aligned ids with each term's largest weight. A query takes blocks by falling
-   bound and stops when no bound beats the worst of its ``K`` nearest examples,
-   so its cosines and neighbours are exact.
-5. Distance-weighted votes, calibrated by a logistic fit to leave-one-out votes
-   of the examples, are the score; the nearest example is the evidence.
+   the examples and, with all words that occur in them, the terms. Executors
+   count the words; the driver sees counts, not texts.
+2. One pass over all documents gives document frequencies, so the inverse
+   frequencies cover the whole corpus. A term that speaks for toxicity beyond chance
+   weighs ``1 + sqrt(chi square)`` times its inverse frequency, any other term
+   its inverse frequency alone: with plain weights the topic drowns the signal.
+3. Examples become unit vectors; equal ones collapse into a class with its
+   labels. The classes are a block-max inverted index: postings in blocks of
+   ``BLOCK`` classes with each term's largest weight in the block, terms of many
+   classes as dense lists. A batch of texts goes first to each text's most
+   promising block, then to every other block whose bound reaches the worst of the
+   ``K`` nearest so far, so neighbours and cosines are exact.
+4. Distance-weighted votes of the ``K`` nearest examples, and of the share of
+   toxic examples as one more voter at distance 1, calibrated by a logistic
+   fit to leave-one-out votes of the examples, are the score; the nearest
+   example is the evidence.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from. The score
 depends on the text alone.
 
-Defined cases: null and empty texts score as texts without any term; a null
+Defined cases: null and empty texts, and texts without any term, get the
+calibrated score of the examples' share of toxic ones, and no evidence; a null
 doc_id is never learnt from and not held out; a document with several labels
 counts as toxic if one says so; null labels are ignored; with no labels of
 either kind all scores are the share of toxic labels (0 without any); repeated
-rows get one row each; an empty table gives an empty table; further columns are
-ignored.
+rows get one row each; equal cosines (at 9 digits) go by doc_id of the
+example; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,128 +41,160 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, doc_text, docs_table, slices
+from .common import doc_text, docs_table, slices
 
 MAX_EXAMPLES = 6000
-MIN_CHI2, MIN_TOXIC = 25.0, 4
-PREFIXES = (4, 5, 6, 7, 8)
-K, BLOCK, EPS, REST = 15, 64, 0.02, 2.5
+#: neighbours; least distance; weight of the share of toxic examples among their votes
+K, EPS, PRIOR = 15, 0.02, 1.0
+#: chi square that chance explains; what a term gains from the root of the rest
+CHANCE, GAIN = 10.0, 2.0
+#: classes in a block; share of the classes from which a term's list is dense; texts scored together
+BLOCK, DENSE, BATCH = 256, 0.07, 512
+DIGITS = 1e9
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings; a beginning is written with a star."""
-    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]] if len(word) > 2 else []
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
-class Terms(dict):
-    """word -> ids of its vocabulary terms, remembered per worker."""
+class Terms:
+    """Term numbers and counts of texts."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.ids = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, vocabulary: dict[str, int]):
+        self.get = vocabulary.get
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1 << 20:
-            self.clear()
-        found = self[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
-        return found
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in order, how often each occurs)."""
+        found = Counter(map(self.get, words(text)))
+        found.pop(None, None)
+        ids = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(ids)
+        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
-    def counts(self, text: str) -> Counter:
-        return Counter([i for found in map(self.__getitem__, _WORD.findall(text.lower())) if found for i in found])
+    def present(self, text: str | None) -> list[int]:
+        found = set(map(self.get, set(words(text))))
+        found.discard(None)
+        return list(found)
 
 
-def choose_terms(texts: list[str], toxic: list[int]) -> list[str]:
-    """Terms that speak for toxicity beyond chance, strongest first."""
-    sets = lambda want: ({x for w in set(_WORD.findall(t.lower())) for x in terms_of(w)} for t, y in zip(texts, toxic) if bool(y) == want)
-    pos: Counter = Counter()
-    for s in sets(True):
-        pos.update(s)
-    pos = Counter({t: n for t, n in pos.items() if n >= MIN_TOXIC})
-    neg: Counter = Counter()
-    for s in sets(False):
-        neg.update(s & pos.keys())
-    n1 = sum(1 for y in toxic if y)
-    n0 = len(toxic) - n1
-    scored = []
-    for t, a in pos.items():
-        b = neg[t]
-        c, d = n1 - a, n0 - b
-        low = (a + b) * (c + d) * n1 * n0
-        chi2 = (n1 + n0) * (a * d - b * c) ** 2 / low if low else 0.0
-        if a * n0 > b * n1 and (chi2 >= MIN_CHI2 or not n0):
-            scored.append((-chi2, t))
-    return [t for _, t in sorted(scored)]
+def signal(examples: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """1 + ``GAIN`` times the root of what chi square exceeds ``CHANCE`` by, for terms that are commoner in toxic examples; else 1."""
+    with_, n = np.zeros((2, size)), np.array([(toxic == 0).sum(), toxic.sum()], float)
+    for ids, y in zip(examples, toxic):
+        with_[int(y), ids] += 1
+    b, a = with_
+    d, c = n[0] - b, n[1] - a
+    low = (a + b) * (c + d) * n[0] * n[1]
+    chi2 = np.divide(n.sum() * (a * d - b * c) ** 2, low, out=np.zeros(size), where=low > 0)
+    return 1 + GAIN * np.sqrt(np.maximum(chi2 - CHANCE, 0)) * (a * n[0] > b * n[1])
 
 
-def weigh(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vector: TF-IDF of the terms, and the rest of the text as the last coordinate."""
-    v = np.zeros(len(idf) + 1)
-    v[ids] = (1 + np.log(tf)) * idf[ids]
-    v[-1] = REST * (idf.max() if len(idf) else 1.0)
-    return v / np.linalg.norm(v)
+def unit(tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    v = (1 + np.log(tf)) * weight
+    norm = np.linalg.norm(v)
+    return v / norm if norm else v
 
 
-class BlockMax:
-    """Distinct example vectors with (examples, toxic ones, a doc_id) each, as a block-max inverted index."""
+def _spread(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The indices starts[i] .. starts[i] + lens[i] - 1, one run after the other."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens - starts, lens)
+
 
-    def __init__(self, vectors: np.ndarray, n: np.ndarray, pos: np.ndarray, ids: np.ndarray):
-        self.n, self.pos, self.ids, self.size = n, pos, ids, len(vectors)
-        blocks = max(1, -(-self.size // BLOCK))
-        self.bound = np.zeros((vectors.shape[1], blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+class BlockMax:
+    """Unit vectors (terms, weights) as a block-max inverted index; exact nearest by cosine at 9 digits, then by rank."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, rank: np.ndarray):
+        self.n = n = len(vectors)
+        self.rank, self.place = rank, np.argsort(rank)
+        self.bits = max(1, n.bit_length())
+        lens = np.array([len(v[0]) for v in vectors], np.int64)
+        term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
+        owner = np.repeat(np.arange(n), lens)
+        often = np.bincount(term, minlength=size) > max(8, DENSE * n)
+        self.dense = np.cumsum(often) - 1
+        self.dense[~often] = -1
+        self.lists = np.zeros((int(often.sum()), n), np.float32)
+        d = often[term]
+        self.lists[self.dense[term[d]], owner[d]] = weight[d]
+        term, weight, owner = term[~d], weight[~d], owner[~d]
+        blocks = max(1, -(-n // BLOCK))
+        order = np.lexsort((owner, term, owner // BLOCK))
+        self.owner, self.weight, block = (owner[order] % BLOCK).astype(np.int32), weight[order], owner[order] // BLOCK
+        # Runs of one term in one block; a term's slot in a block leads to its run, slot 0 being empty.
+        key = block * size + term[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.start = np.concatenate([[0], first])
+        self.len = np.concatenate([[0], np.diff(np.concatenate([first, [len(key)]]))])
+        self.slot = np.zeros((blocks, size), np.int32)
+        self.slot[block[first], term[order][first]] = np.arange(1, len(first) + 1)
+        self.top = np.concatenate([[0], np.maximum.reduceat(self.weight, first)]) if len(first) else np.zeros(1)
+        self.dense_top = np.array([self.lists[:, b * BLOCK : (b + 1) * BLOCK].max(axis=1, initial=0) for b in range(blocks)], np.float64)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest of each query, falling; -1 where there are fewer."""
+        m, blocks = len(queries), len(self.slot)
+        lens = np.array([len(q[0]) for q in queries], np.int64)
+        row = np.repeat(np.arange(m), lens)
+        term = np.concatenate([q[0] for q in queries]) if m else np.zeros(0, np.int64)
+        weight = np.concatenate([q[1] for q in queries]) if m else np.zeros(0)
+        d = self.dense[term]
+        often = d >= 0
+        heavy = np.zeros((m, len(self.lists)))
+        heavy[row[often], d[often]] = weight[often]
+        row, term, weight = row[~often], term[~often], weight[~often]
+        slots = self.slot[:, term]
+        bound = heavy @ self.dense_top.T
         for b in range(blocks):
-            part = vectors[b * BLOCK : (b + 1) * BLOCK]
-            for t in np.flatnonzero(part.any(axis=0)):
-                at = np.flatnonzero(part[:, t])
-                self.postings[b, int(t)] = (at, part[at, t])
-                self.bound[t, b] = part[:, t].max()
-
-    def nearest(self, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Class ids and cosines by falling cosine until k examples are covered; exact. without: a class that lends one example less."""
-        used = np.flatnonzero(q)
-        bound = q[used] @ self.bound[used]
-        ids: np.ndarray = np.zeros(0, np.int64)
-        cos: np.ndarray = np.zeros(0)
-        worst = -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] + 1e-12 < worst:
-                break
-            start, stop = b * BLOCK, min(self.size, (b + 1) * BLOCK)
-            s = np.zeros(stop - start)
-            for t in used:
-                if (p := self.postings.get((int(b), int(t)))) is not None:
-                    s[p[0]] += q[t] * p[1]
-            ids, cos = np.concatenate([ids, np.arange(start, stop)]), np.concatenate([cos, s])
-            order = np.lexsort((ids, -cos))
-            ids, cos = ids[order], cos[order]
-            full = np.cumsum(self.n[ids] - (ids == without))
-            cut = int(np.searchsorted(full, k)) + 1
-            if cut <= len(ids):
-                ids, cos, worst = ids[:cut], cos[:cut], cos[cut - 1]
-        return ids, cos
-
-    def vote(self, q: np.ndarray, k: int = K, without: int = -1, toxic: int = 0) -> tuple[float, int]:
-        """Share of toxic weight among the k nearest examples, and the nearest class."""
-        ids, cos = self.nearest(q, k, without)
-        n = (self.n[ids] - (ids == without)).astype(float)
-        pos = (self.pos[ids] - toxic * (ids == without)).astype(float)
-        take = np.minimum(n, np.maximum(0, k - (np.cumsum(n) - n)))
-        w = np.divide(take, n, out=np.zeros_like(n), where=n > 0) / (1 - np.minimum(cos, 1) + EPS)
-        total = float((w * n).sum())
-        return (float((w * pos).sum()) / total if total else 0.0), int(ids[0]) if len(ids) else -1
+            bound[:, b] += np.bincount(row, weight * self.top[slots[b]], m)
+        limit = ((bound * DIGITS).astype(np.int64) + 2) << self.bits
+        best = np.full((m, k), -1, np.int64)
+
+        def visit(b: int, who: np.ndarray) -> None:
+            """Scores some queries against a block; a key is the cosine at 9 digits, then the rank, the lower first."""
+            width = min(self.n, (b + 1) * BLOCK) - b * BLOCK
+            s = heavy[who] @ self.lists[:, b * BLOCK : b * BLOCK + width].astype(np.float64)
+            at = np.full(m, -1, np.int64)
+            at[who] = np.arange(len(who))
+            used = (at[row] >= 0) & (slots[b] > 0)
+            runs = slots[b][used]
+            lens = self.len[runs]
+            where = _spread(lens, self.start[runs])
+            s += np.bincount(np.repeat(at[row[used]] * width, lens) + self.owner[where], np.repeat(weight[used], lens) * self.weight[where], len(who) * width).reshape(len(who), width)
+            key = (np.rint(np.clip(s, 0, 1) * DIGITS).astype(np.int64) << self.bits) + (1 << self.bits) - 1 - self.rank[b * BLOCK : b * BLOCK + width]
+            if width > k:
+                key = -np.partition(-key, k - 1, axis=1)[:, :k]
+            best[who] = -np.sort(-np.concatenate([best[who], key], axis=1), axis=1)[:, :k]
+
+        done = np.zeros((m, blocks), bool)
+        if self.n and m:
+            favourite = bound.argmax(axis=1)
+            for b in np.unique(favourite):
+                who = np.flatnonzero(favourite == b)
+                visit(int(b), who)
+                done[who, b] = True
+            for b in np.argsort(-bound.max(axis=0), kind="stable"):
+                who = np.flatnonzero(~done[:, b] & (limit[:, b] >= best[:, -1]))
+                if len(who):
+                    visit(int(b), who)
+        found = best >= 0
+        rank = np.where(found, (1 << self.bits) - 1 - (best & ((1 << self.bits) - 1)), 0)
+        return np.where(found, self.place[rank] if self.n else 0, -1), np.where(found, (best >> self.bits) / DIGITS, 0.0)
 
 
 def _logit(p: np.ndarray | float) -> np.ndarray | float:
     return np.log((np.asarray(p) + 0.01) / (1.01 - np.asarray(p)))
 
 
-def platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic calibration, by damped Newton steps."""
+def platt(votes: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic calibration of weighted votes, by damped Newton steps."""
     x, a, b = _logit(votes), 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * x + b)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 1e-3 * (a - 1), (p - y).sum() + 1e-3 * b])
+        w = n * p * (1 - p) + 1e-9
+        g = np.array([(n * (p - y) * x).sum() + 1e-3 * (a - 1), (n * (p - y)).sum() + 1e-3 * b])
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
@@ -171,97 +204,124 @@ def platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Index and calibration; ``score`` remembers equal texts' answers."""
+    """Weights, index and calibration, made once and sent to the workers.
+
+    examples: (doc_id, terms, counts, label) by doc_id, at most ``MAX_EXAMPLES``; idf: one number a term.
+    """
 
-    def __init__(self, examples: list[tuple[int, dict[int, int], int]], idf: np.ndarray):
-        self.idf, self.seen = idf, {}
-        groups: dict[tuple, list] = {}
-        for doc_id, counts, y in sorted(examples, key=lambda e: e[0]):
-            g = groups.setdefault(tuple(sorted(counts.items())), [0, 0, doc_id])
+    def __init__(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]], idf: np.ndarray):
+        ys = np.array([e[3] for e in examples], np.int64)
+        self.weight = idf * signal([e[1] for e in examples], ys, len(idf)) if 0 < ys.sum() < len(ys) else idf
+        groups: dict[tuple[bytes, bytes], list] = {}
+        for doc_id, ids, tf, y in examples:
+            g = groups.setdefault((ids.tobytes(), tf.tobytes()), [0, 0, doc_id, unit(tf, self.weight[ids]), ids])
             g[0] += 1
             g[1] += y
-        self.rate = sum(g[1] for g in groups.values()) / max(1, sum(g[0] for g in groups.values()))
-        keys = list(groups)
-        self.vectors = np.array([self.vector(k) for k in keys]) if keys else np.zeros((0, len(idf) + 1))
-        order = np.lexsort(self.vectors.T) if keys else np.zeros(0, np.int64)  # like with like: tight block bounds
-        keys, self.vectors = [keys[i] for i in order], self.vectors[order]
-        col = lambda k, t: np.array([groups[x][k] for x in keys], t)
-        self.index = BlockMax(self.vectors, col(0, np.int64), col(1, np.int64), col(2, np.int64))
-        votes, ys = [], []
-        for c, v in enumerate(self.vectors):
-            n, pos = int(self.index.n[c]), int(self.index.pos[c])
-            for y, m in ((1, pos), (0, n - pos)):
-                if m:
-                    vote = self.index.vote(v, without=c, toxic=y)[0]
-                    votes += [vote] * m
-                    ys += [y] * m
-        self.both = 0 < sum(ys) < len(ys)
-        self.a, self.b = platt(np.array(votes), np.array(ys, float)) if self.both else (0.0, 0.0)
-
-    def vector(self, items) -> np.ndarray:
-        ids, tf = (np.array([i[k] for i in items], np.int64) for k in (0, 1))
-        return weigh(ids, tf.astype(float), self.idf)
-
-    def score(self, items: tuple) -> tuple[float, int | None]:
-        if items not in self.seen:
-            if len(self.seen) > 1 << 18:
-                self.seen.clear()
-            vote, best = self.index.vote(self.vector(items)) if self.index.size else (self.rate, -1)
-            p = 1 / (1 + math.exp(-(self.a * float(_logit(vote)) + self.b))) if self.both else self.rate
-            self.seen[items] = (p, int(self.index.ids[best]) if best >= 0 else None)
-        return self.seen[items]
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, held_out, score, predicted, nearest_example), one row per document."""
-    spark = docs.sparkSession
-    rows = doc_text(docs)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+        # Like with like, so that blocks have tight bounds: by the strongest term, empty texts aside.
+        rows = sorted((g for g in groups.values() if len(g[4])), key=lambda g: (-int(g[1] > 0), int(g[4][g[3].argmax()]), g[2]))
+        self.n, self.pos, self.ids = (np.array([g[k] for g in rows], np.int64) for k in (0, 1, 2))
+        self.index = BlockMax([(g[4], g[3]) for g in rows], len(idf), np.argsort(np.argsort(self.ids)))
+        self.rate = float(ys.mean()) if len(ys) else 0.0
+        self.both = 0 < ys.sum() < len(ys) and len(rows) > 0
+        self.a, self.b = self._calibrated([(g[4], g[3]) for g in rows]) if self.both else (0.0, 0.0)
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray | None = None, label: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Share of toxic weight among the nearest examples, and the nearest class or -1. own: a class that lends one example of ``label`` less."""
+        places, cos = self.index.nearest(vectors, K + (own is not None))
+        less = (places == own[:, None]) if own is not None else np.zeros(places.shape, bool)
+        n = np.where(places >= 0, self.n[places] - less, 0).astype(float)
+        pos = np.where(places >= 0, self.pos[places] - label * less, 0).astype(float)
+        take = np.minimum(n, np.maximum(0, K - (np.cumsum(n, axis=1) - n)))
+        w = np.divide(take, n, out=np.zeros_like(n), where=n > 0) / (1 - np.minimum(cos, 1) + EPS)
+        return ((w * pos).sum(axis=1) + PRIOR * self.rate) / ((w * n).sum(axis=1) + PRIOR), places[:, 0]
+
+    def _calibrated(self, vectors) -> tuple[float, float]:
+        out: list[tuple[float, int, int]] = []
+        for a in range(0, len(vectors), BATCH):
+            own = np.arange(a, min(len(vectors), a + BATCH))
+            for y, m in ((1, self.pos[own]), (0, (self.n - self.pos)[own])):
+                some = own[m > 0]
+                votes, _ = self.votes([vectors[k] for k in some], some, y)
+                out += zip(votes.tolist(), [y] * len(some), m[m > 0].tolist())
+        votes, ys, n = (np.array(x, float) for x in zip(*out))
+        return platt(votes, ys, n)
+
+    def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[int | None]]:
+        """(score, doc_id of the nearest example or None) of each text's terms and counts."""
+        votes, best = np.full(len(counts), self.rate), [None] * len(counts)
+        some = [k for k, (ids, _) in enumerate(counts) if len(ids)]
+        if some and self.index.n:
+            found, places = self.votes([(ids, unit(tf, self.weight[ids])) for ids, tf in (counts[k] for k in some)])
+            votes[some] = found
+            for k, p in zip(some, places.tolist()):
+                best[k] = int(self.ids[p])
+        return (1 / (1 + np.exp(-(self.a * _logit(votes) + self.b))) if self.both else votes), best
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        found = [Counter(words(t.as_py())) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64())), b.column(2)], ["doc_id", "word", "tf", "toxic"])
+
+
+def examples_of(rows: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[list[tuple[int, np.ndarray, np.ndarray, int]], dict[str, int]]:
+    """The sample of labelled documents (doc_id, terms, counts, label) by doc_id, and the numbers of all their words."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held)
     # The bounded sample is fixed before any text is moved.
-    chosen = marked.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    small = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
-    texts, ys = small.column("text").to_pylist(), [int(y > 0) for y in small.column("toxic").to_pylist()]
-    vocabulary = choose_terms(texts, ys)
-    terms = Terms(vocabulary)
-    examples = [(i, dict(terms.counts(t)), y) for i, t, y in zip(small.column("doc_id").to_pylist(), texts, ys)]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(vocabulary)
-        for b in slices(batches):
-            found = [sorted(known.counts(t.as_py()).items()) for t in b.column(1)]
-            ids, tf = (pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, tf], ["doc_id", "ids", "tf"])
-
-    counted = Saved(rows.mapInArrow(count, "doc_id bigint, ids array<int>, tf array<int>"), "toxic").df
-    total = counted.count()
-    df = np.ones(len(vocabulary))
-    for r in counted.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # at most one row a vocabulary term
-        df[r["t"]] += r["count"]
-    idf = np.log((1 + total) / df) + 1
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, examples, idf))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model)
+    chosen = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    small = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = small.mapInArrow(_counted, "doc_id bigint, word array<string>, tf array<bigint>, toxic int").toArrow().sort_by("doc_id")
+    vocabulary: dict[str, int] = {}
+    for w in sorted({w for ws in got.column("word").to_pylist() for w in ws}):
+        vocabulary[w] = len(vocabulary)
+    out = []
+    for i, ws, tf, y in zip(*[got.column(c).to_pylist() for c in ("doc_id", "word", "tf", "toxic")]):
+        ids = np.array([vocabulary[w] for w in ws], np.int64)
+        order = np.argsort(ids)
+        out.append((i, ids[order], np.array(tf, np.int64)[order], int(y > 0)))
+    return out, vocabulary
+
+
+def document_frequency(rows: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
+    """Documents with each term, over all of them, and how many there are; summed in the task, then by term. vocabulary: a broadcast."""
+    size = len(vocabulary.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df, n = Terms(vocabulary.value), np.zeros(size + 1, np.int64), 0
         for b in slices(batches):
-            got = [m.score(tuple(zip(i, t))) for i, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "score", "nearest_example"])
+            n += b.num_rows
+            for t in b.column(0):
+                df[terms.present(t.as_py())] += 1
+        df[size] = n
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "n"])
 
-    scored = counted.mapInArrow(score, "doc_id bigint, score double, nearest_example bigint")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest_example")
+    found = rows.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the sample
+    df = np.zeros(size + 1, np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return df[:size], int(df[size])
 
 
-_MODELS: dict[str, Model] = {}
+def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """(doc_id, held_out, score, predicted, nearest_example), one row per document."""
+    context = docs.sparkSession.sparkContext
+    rows = doc_text(docs)
+    examples, vocabulary = examples_of(rows, labels, max_examples)
+    known = context.broadcast(vocabulary)  # words of the sample alone
+    df, total = document_frequency(rows, known)
+    model = context.broadcast(Model(examples, np.log((1 + total) / (1 + df)) + 1))
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, m = Terms(known.value), model.value
+        for b in slices(batches, BATCH):
+            got, best = m.score([terms.counts(t.as_py()) for t in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64()), pa.array(best, pa.int64())], ["doc_id", "score", "nearest_example"])
 
-def _model(shared) -> Model:
-    """Built once a worker for each broadcast, which has a name of its own: workers outlive queries."""
-    name, examples, idf = shared.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(examples, idf)
-    return _MODELS[name]
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = rows.mapInArrow(score, "doc_id bigint, score double, nearest_example bigint")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest_example")
 
 
 def query(spark, sf_dir):

@@ -177,16 +177,101 @@ def test_lcs():
 
 def test_block_max_neighbours_are_exact():
     r = np.random.default_rng(3)
-    v = r.random((500, 9)) * (r.random((500, 9)) < 0.4)
-    v[:, -1] = 0.5
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    n = r.integers(1, 4, 500)
-    index = toxicity.BlockMax(v, n, np.zeros(500, int), np.arange(500))
-    for q in v[:60]:
-        ids, cos = index.nearest(q, 15)
-        order = np.lexsort((np.arange(500), -(v @ q)))
-        cut = int(np.searchsorted(np.cumsum(n[order]), 15)) + 1
-        assert np.allclose(cos, (v @ q)[order[:cut]]) and n[ids].sum() >= 15
+    for n, size, k in ((700, 400, 15), (40, 30, 5), (3, 5, 4), (0, 5, 2)):
+        v = r.random((n, size)) * (r.random((n, size)) < np.where(np.arange(size) < 8, 0.6, 0.03))
+        v[1::9] = v[::9][: len(v[1::9])]  # ties
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        v = v.astype(np.float32).astype(float)
+        rows = [(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in v]
+        rank = r.permutation(n)
+        index = toxicity.BlockMax(rows, size, rank)
+        q = np.concatenate([v[:60], r.random((9, size)) * (r.random((9, size)) < 0.2), np.zeros((1, size))])
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        places, cos = index.nearest([(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in q], k)
+        for x, p, c in zip(q, places, cos):
+            s = np.round(v @ x, 9)
+            want = np.lexsort((rank, -s))[:k]
+            assert p[: len(want)].tolist() == want.tolist() and (p[len(want) :] == -1).all() and np.allclose(c[: len(want)], s[want], atol=2e-9)
+
+
+def brute_toxicity(docs, labels):
+    """Scores by dictionaries: every text against every example, nothing skipped."""
+    import math
+    import re
+    from collections import Counter
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    mark = {}
+    for i, y in labels:
+        if i is not None and y is not None and not held(i):
+            mark[i] = max(y, mark.get(i, 0))
+    text = {}
+    for i, t in docs:
+        if i in mark:
+            text[i] = max(t or "", text.get(i, ""))
+    bag = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    train = {i: bag(t) for i, t in sorted(text.items())}
+    df, pos, neg = Counter(), Counter(), Counter()
+    for _, t in docs:
+        df.update(set(bag(t)))
+    for i, c in train.items():
+        (pos if mark[i] else neg).update(set(c))
+    n1 = sum(mark[i] for i in train)
+    n0 = len(train) - n1
+    weight = {}
+    for w in pos.keys() | neg.keys():
+        a, b = pos[w], neg[w]
+        low = (a + b) * (n1 + n0 - a - b) * n1 * n0
+        chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / low if low else 0
+        gain = toxicity.GAIN * math.sqrt(max(0, chi2 - toxicity.CHANCE)) if a * n0 > b * n1 else 0
+        weight[w] = (math.log((1 + len(docs)) / (1 + df[w])) + 1) * (1 + gain)
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    groups = {}
+    for i, c in train.items():
+        groups.setdefault(frozenset(c.items()), []).append(i)
+    known = {g[0]: (vector(train[g[0]]), len(g), sum(mark[i] for i in g)) for g in groups.values() if train[g[0]]}
+    rate = n1 / (n1 + n0)
+
+    def vote(v, without=None, label=0):
+        """Nearest first, equal ones by doc_id; of copies that don't all fit, each counts in part."""
+        if not v:
+            return rate
+        up = down = used = 0
+        for c, i in sorted((-round(sum(x * known[i][0].get(w, 0) for w, x in v.items()), 9), i) for i in known):
+            n, p = known[i][1] - (i == without), known[i][2] - label * (i == without)
+            if n and used < toxicity.K:
+                w = min(n, toxicity.K - used) / n / (1 - min(1, -c) + toxicity.EPS)
+                up, down, used = up + w * p, down + w * n, used + n
+        return (up + toxicity.PRIOR * rate) / (down + toxicity.PRIOR)
+
+    votes, ys, ns = [], [], []
+    for i, (v, n, p) in known.items():
+        for y, m in ((1, p), (0, n - p)):
+            if m:
+                votes, ys, ns = [*votes, vote(v, i, y)], [*ys, y], [*ns, m]
+    a, b = toxicity.platt(np.array(votes), np.array(ys, float), np.array(ns, float))
+    return [1 / (1 + math.exp(-(a * math.log((p + 0.01) / (1.01 - p)) + b))) for p in (vote(vector(bag(t))) for _, t in docs)]
+
+
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    d, l, docs = toxic_tables(spark, 400)
+    want = sorted((x[0] is None, x[0] or 0, s) for x, s in zip(docs, brute_toxicity([(x[0], x[1]) for x in docs], [(r["doc_id"], r["toxic"]) for r in l.collect()])))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.toxicity(d, l).collect())
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want)), [(a, b) for a, b in zip(got, want) if abs(a[2] - b[2]) >= 1e-5]
+    from pyspark.sql import functions as F
+
+    # The query itself, over whole tables.
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()
+    want = dict(zip([r[0] for r in rows], brute_toxicity([tuple(r) for r in rows], [tuple(r) for r in marks])))
+    got = toxicity.query(spark, sf).withColumn("h", F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-5 and r["h"] == r["held_out"] and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
 def toxic_tables(spark, n=700):
