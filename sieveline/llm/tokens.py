@@ -5,8 +5,9 @@ tokenizer version. It becomes a signed delta of three additive totals
 (documents, tokens, characters) by source, language and tokenizer version.
 Deltas of a batch are summed (map-side first, so a source with a third of all
 rows reaches the shuffle as one row a task) and committed under the batch's
-name: the folder appears by one rename, and a batch whose folder is there is
-not applied again, so a retried or repeated commit changes nothing.
+name by creating one file, which only one writer can: a retried, repeated or
+concurrent commit of a batch changes nothing. Compaction folds batches into one
+table without forgetting their names.
 
 Counts are those of a byte-pair vocabulary whose merges never cross pre-token
 borders, so the count of a text is the sum over its pre-tokens, each encoded
@@ -20,10 +21,13 @@ empty table gives an empty rollup; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,53 +103,121 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share: one sub-folder per committed batch; they are not compacted."""
+    """Totals in a folder that all executors share.
+
+    ``data/`` holds tables under names that are never used twice. A batch exists
+    from when the file ``commits/<batch>``, which names its table, could be
+    created: creation fails where the file is there, so of two writers of one
+    batch one wins, and a table without a commit is never read. ``compact`` writes
+    the totals so far as one table and a numbered file in ``bases/`` that names it and
+    the batches in it; the highest base counts, with the commits that it doesn't name.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _path(self, name: str):
+    def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _names(self) -> list[str]:
-        if not self._fs.exists(self._path("")):
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._at(folder)):
             return []
-        return sorted(n for s in self._fs.listStatus(self._path("")) if not (n := s.getPath().getName()).startswith((".", "_")))
+        return sorted(n for s in self._fs.listStatus(self._at(folder)) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+    def _create(self, name: str, text: str) -> bool:
+        """Writes a small file; False if another one of the name was there first."""
+        try:
+            out = self._fs.create(self._at(name), False)
+        except Py4JJavaError:
+            if self._fs.exists(self._at(name)):
+                return False
+            raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _base(self) -> tuple[int, str | None, set[str]]:
+        """(number, table, batches) of the highest base; number 0 without one."""
+        found = self._names("bases")
+        if not found:
+            return 0, None, set()
+        x = json.loads(self._read(f"bases/{found[-1]}"))
+        return int(found[-1]), x["table"], set(x["batches"])
+
+    def _put(self, df: DataFrame) -> str:
+        table = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/data/{table}")
+        return table
+
+    def _drop(self, table: str) -> None:
+        self._fs.delete(self._at(f"data/{table}"), True)
 
     def batches(self) -> set[str]:
         """Names of all batches applied so far."""
-        return set(self._names())
+        return set(self._names("commits"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Applies the batch once; False if it was there already."""
+        """Applies the batch once; False if it was there already, or another writer was faster."""
         if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
             raise ValueError(f"batch name {batch!r}")
-        if batch in self.batches():
+        if self._fs.exists(self._at(f"commits/{batch}")):
             return False
-        temp = f"_temp-{batch}"
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/{temp}")
-        if not self._fs.rename(self._path(temp), self._path(batch)):
-            raise OSError(f"batch {batch} was committed by another writer")
-        return True
+        table = self._put(deltas(changes))
+        if self._create(f"commits/{batch}", table):
+            return True
+        self._drop(table)
+        return False
+
+    def _sums(self) -> tuple[DataFrame, list[str], list[str]]:
+        """Sums over everything committed, the tables read and the batches in them."""
+        _, base, inside = self._base()
+        fresh = [b for b in self._names("commits") if b not in inside]
+        tables = [*([base] if base else []), *(self._read(f"commits/{b}") for b in fresh)]
+        schema = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_chars bigint"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{t}" for t in tables]) if tables else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in TOTALS]), tables, [*inside, *fresh]
 
     def totals(self) -> DataFrame:
-        """Sums over all batches; keys that are back to nothing are left out."""
-        names = self._names()
-        schema = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_chars bigint"
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in TOTALS])
-        return sums.filter(" OR ".join(f"{c} <> 0" for c in TOTALS))
+        """Sums over all batches; keys that are back to nothing are left out.
+
+        Deletes of what was never inserted show as totals below zero until the insert comes: batches may arrive in any order.
+        """
+        return self._sums()[0].filter(" OR ".join(f"{c} <> 0" for c in TOTALS))
+
+    def compact(self) -> bool:
+        """Makes one table of all batches and drops those that the base before it had replaced; False if another compaction was faster.
+
+        Tables of the batches compacted now stay until the next compaction, for readers that began before.
+        """
+        number, old, inside = self._base()
+        sums, _, batches = self._sums()
+        table = self._put(sums.coalesce(1))
+        if not self._create(f"bases/{number + 1:08d}", json.dumps({"table": table, "batches": sorted(batches)})):
+            self._drop(table)
+            return False
+        for b in inside:
+            self._drop(self._read(f"commits/{b}"))
+        for old in self._names("bases")[-3:-2]:
+            self._drop(json.loads(self._read(f"bases/{old}"))["table"])
+        return True
 
 
 def query(spark, sf_dir):
     """All documents inserted, with characters as a first count, revised to their tokens, deleted and inserted again.
 
-    Each batch holds every document and is committed twice: the second commit changes nothing.
+    Each batch holds every document and is committed twice: the second commit changes nothing. Half-way the store is compacted.
     """
-    import uuid
-
     counts = Saved(count_tokens(docs_table(spark, sf_dir)), "token-counts").df
     store = Rollup(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     first = counts.withColumn("n_tokens", F.col("n_chars")).withColumn("op", F.lit("insert"))
@@ -153,4 +225,6 @@ def query(spark, sf_dir):
     for batch, changes in (("load", first), ("recount", revised), ("remove", counts.withColumn("op", F.lit("delete"))), ("return", counts.withColumn("op", F.lit("insert")))):
         store.commit(batch, changes)
         store.commit(batch, changes)
+        if batch == "recount":
+            store.compact()
     return store.totals()

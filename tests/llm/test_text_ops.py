@@ -1,6 +1,7 @@
 """Operators 1, 3, 4, 5 and 7."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -32,6 +33,34 @@ def test_rollup_of_deltas_is_idempotent(spark, tmp_path):
     assert got == {("a", "en", "v1", 1, 12, 41), (None, None, "v1", 1, 1, 4)}
 
 
+def test_rollup_compacts_and_takes_two_writers(spark, tmp_path):
+    cols = "op string, source string, lang string, tokenizer_version string, n_tokens long, n_chars long"
+    batch = lambda n, op="insert": spark.createDataFrame([(op, "a", "en", "v", n, n)], cols)
+    store, other = (tokens.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    folders = lambda: sorted(os.listdir(tmp_path / "r" / "data"))
+    sums = lambda: [tuple(r)[3:] for r in store.totals().collect()]
+    assert store.commit("b0", batch(3, "delete")) and sums() == [(-1, -3, -3)]  # the delete came first
+    for k in range(1, 5):
+        assert store.commit(f"b{k}", batch(k))
+    assert sums() == [(3, 7, 7)] and store.compact() and sums() == [(3, 7, 7)] and len(folders()) == 6
+    assert not store.commit("b2", batch(2)) and store.commit("b5", batch(10)) and sums() == [(4, 17, 17)]
+    assert store.compact() and store.compact() and sums() == [(4, 17, 17)] and not store.commit("b5", batch(10))
+    assert store.batches() == {f"b{k}" for k in range(6)}
+    # Two writers past the check: the second one's table is not read, and goes.
+    n, put = len(folders()), other._put
+
+    def slow(df):
+        table = put(df)
+        assert store.commit("b6", batch(100))
+        return table
+
+    other._put = slow
+    assert not other.commit("b6", batch(100)) and sums() == [(5, 117, 117)] and len(folders()) == n + 1
+    # So do two compactions.
+    other._put = lambda df: (put(df), store.compact())[0]
+    assert not other.compact() and sums() == [(5, 117, 117)]
+
+
 def test_token_query_commits_all_kinds_of_changes(spark, monkeypatch):
     seen, commit = {}, tokens.Rollup.commit
 
