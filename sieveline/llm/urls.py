@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BOUND = 200_000
-MAX_DEPTH = 8
 
 #: The list of the registered query.
 ENTRIES = (
@@ -57,7 +56,7 @@ HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*([^?#]*)"
 
 
-def keys(url, depth: int = MAX_DEPTH):
+def keys(url, depth: int):
     """Every pattern that could match a URL: the host's suffixes at dots, and the host and its path's prefixes at slashes.
 
     Prefixes go as deep as ``depth`` segments, those of the list's deepest pattern.
@@ -107,7 +106,7 @@ def sql() -> str:
             list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs FROM pages),
     k AS (SELECT page_id, url, fetched_at, unnest(list_concat(
             list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-            list_transform(range(1, least(len(segs), {MAX_DEPTH}) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM c),
+            list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS pattern FROM c),
     hit AS (SELECT k.page_id, iv.pattern, verdict, valid_from FROM k JOIN iv USING (pattern) WHERE fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)
             QUALIFY row_number() OVER (PARTITION BY k.page_id ORDER BY length(iv.pattern) DESC, (verdict = 'allow')::int DESC, verdict DESC, iv.pattern DESC, valid_from DESC) = 1)
     SELECT c.page_id, c.url, strftime(c.fetched_at, '%Y-%m-%d') AS fetched_on, coalesce(verdict, 'unlisted') AS verdict, pattern, strftime(valid_from, '%Y-%m-%d') AS since
