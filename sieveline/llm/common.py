@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigurationError
+
 
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,10 +22,12 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none."""
+    """The cluster's checkpoint folder. Only a session of one machine may name none: it gets a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sieveline-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

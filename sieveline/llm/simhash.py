@@ -38,6 +38,7 @@ RADIUS = 4
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TILE = 1024
 HOT = 60_000
+GROUP_ROWS = 1 << 18  # band values of classes that a task compares, on average
 CHUNK = 1 << 16
 
 
@@ -145,7 +146,7 @@ def _tiles(radius: int):
     return compare
 
 
-def linked(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def linked(classes: DataFrame, radius: int = RADIUS, hot: int = HOT, n_classes: int | None = None) -> DataFrame:
     """(fp, n) classes -> (fp, near, root) partial links: near sums to the rows of other classes within the radius, (fp, root) spans the components."""
     spark = classes.sparkSession
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")).cast("int").alias("key")) for k, (s, w) in enumerate(BANDS)])
@@ -156,7 +157,7 @@ def linked(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("fp", "n", "band", "key", "blk", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"))
-    groups = max(16, 2 * shuffle_parts(spark))
+    groups = max(16, 2 * shuffle_parts(spark), -(-len(BANDS) * (n_classes or classes.count()) // GROUP_ROWS))
     return rows.groupBy(F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(groups)).alias("grp")).applyInPandas(_tiles(radius), "fp bigint, near bigint, root bigint")
 
 
