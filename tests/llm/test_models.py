@@ -64,6 +64,38 @@ def planted(r, item, how):
     return H.prose(r, 200) + " " + " ".join(w) + " " + H.prose(r, 150)
 
 
+def plain_words(t):
+    return [w for x in (t or "").lower().split() if (w := x.strip(leaks._SIGNS))]
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_leaks(docs, items):
+    """Every stretch of every document against every item, by words and a table of common subsequences."""
+    out = set()
+    for n, t in docs:
+        w = plain_words(t)
+        for i, text in items:
+            own = plain_words(text)
+            answer = next((p for s in reversed(leaks._SENTENCE.split(text)) if len(p := plain_words(s)) >= 3), own)
+            for at in range(-leaks.STEP, len(w), leaks.STEP):
+                around = w[max(0, at - len(own)) : at + 2 * leaks.STEP + len(own)]
+                if sum(x in set(around) for x in own) < 0.55 * len(own):
+                    continue
+                share = plain_lcs(own, around) / len(own)
+                if share >= 0.75 or share >= 0.55 and plain_lcs(answer, around) >= 0.7 * len(answer):
+                    out.add((n, i))
+                    break
+    return out
+
+
 def test_leaks_found_and_clean_left_alone(spark):
     r = random.Random(8)
     alphabet = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra", "fun", "gol") for b in ("a", "e", "ita", "ou") for c in ("n", "st", "rk", "l")]
@@ -81,25 +113,20 @@ def test_leaks_found_and_clean_left_alone(spark):
         want.add((5000 + n, 0))
     docs = spark.createDataFrame([(*d, "c", 1) for d in data], "doc_id long, text string, ids string, item_id int")
     got = {(x["doc_id"], x["item_id"]) for x in leaks.matches(docs, bench).collect()}
-    # Brute force: every passage of every document against every item.
-    known = leaks.Items(items)
-    number = leaks.Numbers(known.vocabulary)
-    brute = set()
-    for i, t in data:
-        ids = number.of(t)
-        for k in range(len(known.ids)):
-            for at in range(-leaks.STEP, len(ids), leaks.STEP):
-                share, answer = leaks._verify(known, k, ids, at)
-                if share >= leaks.SURE or share >= leaks.MAYBE and answer:
-                    brute.add((i, known.ids[k]))
-                    break
-    assert want <= brute and got <= brute
-    assert len(got & brute) >= 0.9 * len(brute) and want <= got
+    brute = brute_leaks(data, items)
+    assert want <= brute and got == brute
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.matches(docs, bench, part_chars=700).collect()} == brute
     clean = leaks.clean(docs, bench)
     assert clean.columns == docs.columns
+    assert leaks.clean(docs, bench, part_chars=700).count() == clean.count()
     assert sorted((x["doc_id"] for x in clean.collect()), key=lambda v: (v is None, v or 0)) == sorted((i for i, _ in data if i not in {d for d, _ in brute}), key=lambda v: (v is None, v or 0))
 
 
+def test_leak_query_against_brute_force(spark):
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.query(spark, SF).collect()} == brute_leaks(docs, items) != set()
+
+
 def test_hot_items_are_found_at_every_alignment():
     r = random.Random(5)
     words = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra", "fun", "gol") for b in ("a", "e", "ita", "ou") for c in ("n", "st", "rk", "l")]
