@@ -40,6 +40,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name as it is, or with underscores added until the table has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 class Saved:
     """A table written to the shared folder, so that lineage ends there; ``drop()`` when superseded."""
 

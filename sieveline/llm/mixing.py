@@ -149,8 +149,9 @@ def _chosen(rows: DataFrame, cut: DataFrame, seed: str, bucket_hex: int) -> Data
 
 def select(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain=domain_of, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), bucket_hex: int = BUCKET_HEX) -> DataFrame:
     """One row per document and epoch taken: ``doc`` (the whole input row), ``id``, ``domain``, ``lang``, ``source``, ``n_tokens``, ``epoch`` from 0."""
-    cut = cuts(tokens_of(docs, domain), budget_share, max_epochs, seed, weights, bucket_hex)
-    return _chosen(_keyed(docs, domain), cut, seed, bucket_hex)
+    rows = Saved(_keyed(docs, domain), "mix").df  # tokens are counted once; the cuts read their columns alone
+    cut = cuts(rows.select("id", *KEY, "n_tokens").filter("n_tokens > 0"), budget_share, max_epochs, seed, weights, bucket_hex)
+    return _chosen(rows, cut, seed, bucket_hex)
 
 
 def query(spark, sf_dir):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, connected_components, doc_text, docs_table, shuffle_parts, slices
+from .common import Saved, connected_components, doc_text, docs_table, free_names, shuffle_parts, slices
 
 RADIUS = 4
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -72,6 +72,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return doc_text(docs).mapInArrow(_prints, "doc_id bigint, fp bigint")
 
 
+def text_key():
+    """Columns that tell rows apart by doc_id and text: equal in all three, two rows are the same document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(text).alias("_h"), F.hash(text).alias("_g")]
+
+
+def _keyed_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(3)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], ["_id", "_h", "_g", "fp"])
+
+
 def _pairs(x: np.ndarray, y: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius; y None: pairs within x. Both are sorted by population count."""
     px = np.bitwise_count(x)
@@ -164,16 +176,53 @@ def linked(classes: DataFrame, radius: int = RADIUS, hot: int = HOT, n_classes:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fp, n_near (other rows linked directly), component_id (smallest doc_id reachable)."""
     prints = Saved(fingerprints(docs), "simhash").df
-    classes = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-    links = Saved(linked(classes.select("fp", "n"), radius), "links").df
-    near = links.groupBy("fp").agg(F.sum("near").alias("near"))
-    comp = connected_components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    known = classes.join(near, "fp", "left").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    known = _components(prints, F.min("doc_id").alias("low"), radius)
     lowest = known.groupBy("comp").agg(F.min("low").alias("component_id"))
     known = known.join(lowest, "comp").select("fp", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_near"), "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
+def _components(prints: DataFrame, low, radius: int) -> DataFrame:
+    """(fp, n, low, near, comp): each fingerprint's rows, their aggregate ``low``, near rows of others and component."""
+    classes = prints.groupBy("fp").agg(F.count("*").alias("n"), low)
+    links = Saved(linked(classes.select("fp", "n"), radius), "links").df
+    near = links.groupBy("fp").agg(F.sum("near").alias("near"))
+    comp = connected_components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
+    return classes.join(near, "fp", "left").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
+def one_each(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows, all columns kept, of one document of each component: the smallest doc_id, null being the largest, then the lowest hash of its text.
+
+    Rows are judged by ``text_key``, so texts are hashed but never shuffled where
+    the keys of the rows that go, and of kept rows that are there repeatedly, are
+    few enough to broadcast (counted first); beyond that it is a shuffled join.
+    Of repeated rows of a kept document one stays.
+    """
+    key = ["_id", "_h", "_g"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    prints = Saved(docs.select(*text_key(), text.alias("text")).mapInArrow(_keyed_prints, "_id bigint, _h bigint, _g int, fp bigint"), "simhash").df
+    rank = F.struct(F.col("_id").isNull().alias("last"), *key)
+    known = _components(prints, F.min(rank).alias("low"), radius)
+    first = known.groupBy("comp").agg(F.min("low").alias("first"), F.sum("n").alias("rows"))
+    # Only rows of components of several rows are looked at again.
+    many = known.join(first.filter("rows > 1"), "comp").select("fp", "first")
+    judged = keys = Saved(prints.join(many, "fp").groupBy(*key, "first").agg(F.count("*").alias("times")).withColumn("stays", rank == F.col("first")).filter("not stays or times > 1").select(*key, "stays"), "simhash-keys").df
+    if judged.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        judged = F.broadcast(judged)
+    names = free_names(docs, *key, "_stays")
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(text_key(), names)])
+    match = F.lit(True)
+    for n, k in zip(names, key):
+        match = match & rows[n].eqNullSafe(judged[k])
+    met = rows.join(judged, match, "left").select(*[rows[f"`{c}`"] for c in rows.columns], judged["stays"].alias(names[3]))
+    alone = met.filter(F.col(names[3]).isNull()).select(*[f"`{c}`" for c in docs.columns])
+    if keys.filter("stays").isEmpty():
+        return alone
+    again = met.filter(F.col(names[3])).dropDuplicates(names[:3]).select(*[f"`{c}`" for c in docs.columns])
+    return alone.unionByName(again)
+
+
 def query(spark, sf_dir):
     found = near_duplicates(docs_table(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("bigint").alias("n_near"), F.col("component_id").cast("bigint").alias("component_id"))
