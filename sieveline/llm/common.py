@@ -40,6 +40,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes, for sizes of tasks; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Each name as it is, or with underscores added until the table has no column of that name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -6,27 +6,27 @@ array of the whole corpus is built: strings that can't be equal never meet.
 
 1. Documents are grouped into blocks by hash. Each 100-byte window is owned by
    its minimizer, the least hash among its 32-byte substrings, so equal windows
-   have equal minimizers. A run of windows with one owner is a segment; a block
-   sends (minimizer, segment hash, order) of its distinct segments, about one
-   in 35 bytes, in packed arrays by minimizer.
-2. A minimizer's shard answers for each segment: alone (nothing to do), equal
-   to an earlier one (all its windows go), or contested: the first of its kind
-   where other segments of the minimizer differ, as at borders of passages.
-3. Contested segments are cut in two classes of windows by where the minimizer
+   have equal minimizers. A run of windows with one owner is a segment. A block
+   sends its distinct segments, about one in 35 bytes, in packed arrays twice: by
+   segment, and, one entry a minimizer however many segments it has there, by
+   minimizer.
+2. The shard of a segment tells those that are equal to an earlier one: all their
+   windows go. The shard of a minimizer tells whether it has different segments,
+   as at borders of passages: then the first of each kind is contested. So a
+   segment or minimizer with a third of all text meets as one entry a block.
+3. Contested segments are cut into classes of windows by where the minimizer
    lies, and their bytes go to the shard of what all windows of a class share
-   (66 bytes or more), so a hot minimizer spreads by context. Each shard
-   collapses equal pieces, and of those that share a context with another it
-   builds a suffix array by induced sorting and the permuted common prefixes;
-   neighbours in the array with a common prefix of 100 are equal windows, of
-   which all but the first go. Where a minimizer has more than ``HOT_KINDS``
-   different segments (a passage in very many documents differs at its borders
-   in each), a context would still gather them all; their windows are told
-   apart by 128-bit hashes instead, which spread evenly, one a block and kind.
+   (66 bytes or more). A minimizer of more than ``HOT_KINDS`` kinds is cut into
+   narrow classes of three windows, which share 98 bytes: two bytes are left to
+   differ, so the pieces of a context are bounded however many documents have
+   the passage, and spread over all shards. Each shard collapses equal pieces,
+   and of those that share a context with another it builds a suffix array by
+   induced sorting and the permuted common prefixes; neighbours in the array with
+   a common prefix of 100 are equal windows, of which all but the first go.
 4. Blocks take the verdicts together and cut the texts.
 
 Copies never multiply: equal segments collapse in the block before anything is
-sent, and nothing lists pairs. Hashes have 64 bits and are compared only under
-an equal 64-bit minimizer.
+sent, and nothing lists pairs. Segments are compared by 96 bits of hash.
 
 Defined cases: null and empty texts and texts under 100 bytes lose nothing;
 rows with one doc_id are ordered by text, equal rows in any order, a null
@@ -43,14 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_table, shuffle_parts
+from .common import docs_table, plan_bytes, shuffle_parts
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
 CLASSES = ((0, 34), (34, SPAN))  # windows by the minimizer's offset
+NARROW = tuple((lo, min(SPAN, lo + 3)) for lo in range(0, SPAN, 3))
 PIECE = 1 << 18
 HOT_KINDS = 1000
+#: bytes of input, at most, that a block holds and that a shard answers for
+BLOCK_BYTES, SHARD_BYTES = 64 << 20, 128 << 20
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _C = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -146,30 +149,20 @@ class Block:
         self.first = np.zeros(len(rank), bool)
         self.first[rank[new]] = True
 
-    def windows(self, runs: np.ndarray):
-        """All windows of runs in order: run, number in the run, both hashes, whether it is the block's first of its kind."""
-        n = self.end[runs] - self.start[runs]
-        run = np.repeat(runs, n)
-        k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        at = self.start[run] + k
-        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
-        a, b = (np.full(len(at), c, np.uint64) for c in _C[:2])
-        for d in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            w = words[at + d]
-            for h, c in ((a, _C[2]), (b, _C[3])):
-                h ^= h >> _U(29)
-                h += w
-                h *= c
-        for h in (a, b):
-            h ^= h >> _U(32)
-            h *= _C[4]
-            h ^= h >> _U(29)
-        order = np.lexsort((np.arange(len(at)), b, a))
-        new = np.ones(len(at), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        first = np.zeros(len(at), bool)
-        first[order[new]] = True
-        return run, k, a, b, first
+    def keys_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits that stand for a segment and its minimizer."""
+        a = (self.seg[runs] ^ (self.gram[runs] >> _U(23))) * _C[2] + self.gram[runs]
+        b = (self.gram[runs] ^ (self.seg[runs] >> _U(31))) * _C[3] + self.seg[runs]
+        return (a ^ (a >> _U(29))) * _C[4], (b >> _U(32)).astype(np.uint32)
+
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each minimizer, its kinds of segments here, the segment if there is one kind, and of each first segment the minimizer's place."""
+        runs = np.flatnonzero(self.first)
+        grams, place, kinds = np.unique(self.gram[runs], return_inverse=True, return_counts=True)
+        seg = np.zeros(len(grams), np.uint64)
+        seg[place] = self.seg[runs]
+        seg[kinds > 1] = 0
+        return grams, kinds, seg, place
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -206,71 +199,108 @@ def _rows(name: str, keys: np.ndarray, block, *arrays: np.ndarray) -> pa.Table:
     return pa.table(cols | {"payload": pa.array(payload, pa.binary())})
 
 
-_BLOCK_SCHEMA = "block bigint, payload binary"
+_SENT = "shard bigint, by string, block bigint, payload binary"
+_TOLD = "block bigint, by string, payload binary"
+SEGMENT, MINIMIZER, PIECE_OF = "segment", "minimizer", "piece"
+
+
+def _tagged(rows: pa.Table, by: str) -> pa.Table:
+    names = rows.column_names
+    return pa.table([rows.column(0), pa.array([by] * rows.num_rows, pa.string()), *rows.columns[1:]], [names[0], "by", *names[1:]])
 
 
 def _announce(shards: int):
     def run(table: pa.Table) -> pa.Table:
-        b = Block(table)
+        b, block = Block(table), table.column("block")[0].as_py()
         r = np.flatnonzero(b.first)
-        shard = ((b.gram[r] >> _U(7)) % _U(shards)).astype(np.int64)
-        return _rows("shard", shard, table.column("block")[0].as_py(), b.gram[r], b.seg[r], b.keys[b.doc[r]], r.astype(np.uint32))
+        x, y = b.keys_of(r)
+        own = _rows("shard", ((x >> _U(7)) % _U(shards)).astype(np.int64), block, x, y, b.keys[b.doc[r]], r.astype(np.uint32))
+        grams, kinds, seg, _ = b.minimizers()
+        every = _rows("shard", ((grams >> _U(7)) % _U(shards)).astype(np.int64), block, grams, seg, np.minimum(kinds, 65535).astype(np.uint16), np.arange(len(grams), dtype=np.uint32))
+        return pa.concat_tables([_tagged(own, SEGMENT), _tagged(every, MINIMIZER)])
 
     return run
 
 
-ALL, CONTESTED, HOT = 1, 2, 3
+CONTESTED, HOT = 1, 2
 
 
 def _answer(hot: int):
-    return lambda table: _verdicts(table, hot)
-
-
-def _verdicts(table: pa.Table, hot: int) -> pa.Table:
-    """(block, packed run and verdict) for each first segment that is repeated or contested."""
-    block, (gram, seg, doc, run) = _gather(table, np.uint64, np.uint64, np.int64, np.uint32)
-    order = np.lexsort((run, block, doc, seg, gram))
-    g, s = gram[order], seg[order]
-    n = len(order)
-    new_g = np.ones(n, bool)
-    new_g[1:] = g[1:] != g[:-1]
-    new_s = new_g.copy()
-    new_s[1:] |= s[1:] != s[:-1]
-    kinds = np.bincount(np.cumsum(new_g) - 1, new_s)[np.cumsum(new_g) - 1] if n else np.zeros(0)
-    verdict = np.where(~new_s, ALL, np.where(kinds > hot, HOT, np.where(kinds > 1, CONTESTED, 0))).astype(np.uint8)
+    def run(table: pa.Table) -> pa.Table:
+        by = table.column("by")[0].as_py()
+        return _tagged(_earlier(table) if by == SEGMENT else _differing(table, hot), by)
+
+    return run
+
+
+def _earlier(table: pa.Table) -> pa.Table:
+    """(block, packed run) of each segment that is equal to an earlier one."""
+    block, (x, y, doc, run) = _gather(table, np.uint64, np.uint32, np.int64, np.uint32)
+    order = np.lexsort((run, block, doc, y, x))
+    again = np.zeros(len(order), bool)
+    again[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+    at = order[again]
+    return _rows("block", block[at], None, run[at])
+
+
+def _differing(table: pa.Table, hot: int) -> pa.Table:
+    """(block, packed place and verdict) of each minimizer with different segments; hot if it has more than ``hot`` a block summed up."""
+    block, (gram, seg, kinds, place) = _gather(table, np.uint64, np.uint64, np.uint16, np.uint32)
+    order = np.argsort(gram, kind="stable")
+    g, s, n = gram[order], seg[order], kinds[order].astype(np.int64)
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    group = np.cumsum(new) - 1
+    other = np.zeros(len(g), bool)
+    other[1:] = ~new[1:] & (s[1:] != s[:-1])
+    total = np.bincount(group, n)
+    differ = np.bincount(group, other | (n > 1)) > 0
+    verdict = np.where(differ, np.where(total > hot, HOT, CONTESTED), 0)[group].astype(np.uint8)
     told = verdict > 0
     at = order[told]
-    return _rows("block", block[at], None, run[at], verdict[told])
+    return _rows("block", block[at], None, place[at], verdict[told])
 
 
-_SENT = {"shard": pa.int64(), "hot": pa.bool_(), "block": pa.int64(), "payload": pa.binary()}
+def _split_told(told: pa.Table) -> dict[str, list[bytes]]:
+    out: dict[str, list[bytes]] = {SEGMENT: [], MINIMIZER: [], PIECE_OF: []}
+    for by, raw in zip(told.column("by").to_pylist(), told.column("payload").to_pylist()):
+        out[by].append(raw)
+    return out
 
 
 def _contest(shards: int):
-    """The bytes of contested segments, by class and shared context; of hot ones the windows' hashes, by hash."""
+    """The bytes of contested segments, by class and shared context."""
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows: list[tuple[int, bool, bytes]] = []
-        if docs.num_rows and told.num_rows:
-            _, (runs, verdict) = _gather(told, np.uint32, np.uint8)
-            of = lambda v: np.sort(runs[verdict == v]).astype(np.int64)
-            b = Block(docs) if (verdict > ALL).any() else None
-            if len(r := of(CONTESTED)):
-                rows += _pieces(b, r, shards)
-            if len(r := of(HOT)):
-                rows += _hashes(b, r, shards)
+        rows: list[tuple[int, bytes]] = []
+        said = _split_told(told)
+        if docs.num_rows and said[MINIMIZER]:
+            b = Block(docs)
+            runs, place = np.flatnonzero(b.first), b.minimizers()[3]
+            verdict = np.zeros(int(place.max()) + 1, np.uint8)
+            for raw in said[MINIMIZER]:
+                at, v = _unpack(raw, np.uint32, np.uint8)
+                verdict[at] = v
+            verdict = verdict[place]
+            gone = np.zeros(len(b.first), bool)
+            for raw in said[SEGMENT]:
+                gone[_unpack(raw, np.uint32)[0]] = True
+            verdict[gone[runs]] = 0
+            for v, classes in ((CONTESTED, CLASSES), (HOT, NARROW)):
+                if len(r := runs[verdict == v]):
+                    rows += _pieces(b, r, shards, classes)
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
-        cols = [*zip(*rows)] or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array([block] * len(rows), pa.int64()), pa.array(cols[2], pa.binary())], list(_SENT))
+        cols = [*zip(*rows)] or [(), ()]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array([PIECE_OF] * len(rows), pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array(cols[1], pa.binary())], ["shard", "by", "block", "payload"])
 
     return run
 
 
-def _pieces(b: Block, runs: np.ndarray, shards: int) -> list[tuple[int, bool, bytes]]:
+def _pieces(b: Block, runs: np.ndarray, shards: int, classes) -> list[tuple[int, bytes]]:
     data = b.data
     power = np.multiply.accumulate(np.full(LENGTH, _U(_BASE), np.uint64))
     out = []
-    for c, (lo, hi) in enumerate(CLASSES):
+    for c, (lo, hi) in enumerate(classes):
         # Windows from start to stop have the minimizer lo to hi-1 bytes in.
         start = np.maximum(b.start[runs], b.at[runs] - hi + 1)
         stop = np.minimum(b.end[runs], b.at[runs] - lo + 1)
@@ -282,23 +312,16 @@ def _pieces(b: Block, runs: np.ndarray, shards: int) -> list[tuple[int, bool, by
         shared = data[(p - lo)[:, None] + np.arange(width)[None, :]].astype(np.uint64)
         ctx = ((shared + _U(1)) * power[:width]).sum(axis=1, dtype=np.uint64)
         ctx ^= ctx >> _U(31)
-        ctx = (ctx * _C[1]) ^ b.gram[r] ^ _U(c + 1)
+        ctx = (ctx * _C[1]) ^ b.gram[r] ^ _U(c + len(classes))
         out.append((ctx, b.keys[b.doc[r]], r, s, e))
     ctx, doc, r, s, e = (np.concatenate(x) for x in zip(*out))
     rows = []
     for shard, at in _split(((ctx >> _U(9)) % _U(shards)).astype(np.int64)):
         text = b"".join([data[x : y + LENGTH - 1].tobytes() for x, y in zip(s[at].tolist(), e[at].tolist())])
-        rows.append((shard, False, _pack(ctx[at], doc[at], r[at].astype(np.uint32), (s[at] - b.start[r[at]]).astype(np.uint8), (e[at] - s[at]).astype(np.uint8)) + text))
+        rows.append((shard, _pack(ctx[at], doc[at], r[at].astype(np.uint32), (s[at] - b.start[r[at]]).astype(np.uint8), (e[at] - s[at]).astype(np.uint8)) + text))
     return rows
 
 
-def _hashes(b: Block, runs: np.ndarray, shards: int) -> list[tuple[int, bool, bytes]]:
-    run, k, x, y, first = b.windows(runs)
-    run, k, x, y = run[first], k[first], x[first], y[first]
-    doc = b.keys[b.doc[run]]
-    return [(shard, True, _pack(x[at], y[at], doc[at], run[at].astype(np.uint32), k[at].astype(np.uint8))) for shard, at in _split(((x >> _U(9)) % _U(shards)).astype(np.int64))]
-
-
 def _split(shard: np.ndarray):
     """(shard, indices) of each shard that occurs."""
     order = np.argsort(shard, kind="stable")
@@ -306,27 +329,12 @@ def _split(shard: np.ndarray):
         yield int(shard[at[0]]), at
 
 
-_HASH_TYPES = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
-
-
-def _settle_hot(table: pa.Table) -> pa.Table:
-    """All but the first of equal windows."""
-    block, (x, y, doc, run, k) = _gather(table, *_HASH_TYPES)
-    order = np.lexsort((k, run, block, doc, y, x))
-    again = np.zeros(len(order), bool)
-    again[1:] = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
-    i = order[again]
-    return _rows("block", block[i], None, run[i], k[i], np.ones(len(i), np.uint8))
-
-
 _PIECE_TYPES = (np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
 _HEAD = sum(np.dtype(t).itemsize for t in _PIECE_TYPES)
 
 
 def _settle(table: pa.Table) -> pa.Table:
     """(block, packed run, first window, windows) of repeats among the pieces of one shard."""
-    if table.column("hot")[0].as_py():
-        return _settle_hot(table)
     raws = table.column("payload").to_pylist()
     block, (ctx, doc, run, off, wins) = _gather(table, *_PIECE_TYPES)
     texts: list[bytes] = []
@@ -352,18 +360,19 @@ def _settle(table: pa.Table) -> pa.Table:
     if pieces:
         gone += _equal_windows([texts[i] for i in pieces], np.array(pieces), wins, doc, block, run, off)
     if not gone:
-        return _rows("block", np.zeros(0, np.int64), None)
+        return _tagged(_rows("block", np.zeros(0, np.int64), None), PIECE_OF)
     i, w, n = (np.array(x) for x in zip(*gone))
-    return _rows("block", block[i], None, run[i], (off[i] + w).astype(np.uint8), n.astype(np.uint8))
+    return _tagged(_rows("block", block[i], None, run[i], (off[i] + w).astype(np.uint8), n.astype(np.uint8)), PIECE_OF)
 
 
 def _equal_windows(texts, piece, wins, doc, block, run, off) -> list[tuple[int, int, int]]:
     """Repeated windows by suffix array: all but the earliest of each class of equal ones."""
     size = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
-    raw[begin + size] = 1  # a separator, then the sentinel
-    t = np.concatenate([raw, [0]])
+    raw = np.frombuffer(b"\0".join(texts) + b"\0\0", np.uint8)
+    t = raw + np.uint8(2) if len(raw) and raw.max() < 254 else raw.astype(np.uint16) + np.uint16(2)  # UTF-8 has no byte from 254 on
+    t[begin + size] = 1  # a separator, then the sentinel
+    t[-1] = 0
     sa = suffix_array(t)
     plcp = permuted_lcp(t, sa, LENGTH)
     w = wins[piece].astype(np.int64)
@@ -392,22 +401,13 @@ def _cut(key, docs: pa.Table, told: pa.Table) -> pa.Table:
     b = Block(docs)
     edge = np.zeros(len(b.data) + 1, np.int32)
     whole = ~b.first
-    hot: list[np.ndarray] = []
-    if told.num_rows:
-        for raw, settled in zip(told.column("payload").to_pylist(), told.column("settled").to_pylist()):
-            if settled:
-                r, w, n = (x.astype(np.int64) for x in _unpack(raw, np.uint32, np.uint8, np.uint8))
-                np.add.at(edge, b.start[r] + w, 1)
-                np.add.at(edge, b.start[r] + w + n + LENGTH - 1, -1)
-            else:
-                r, verdict = _unpack(raw, np.uint32, np.uint8)
-                whole[r[verdict == ALL]] = True
-                hot.append(r[verdict == HOT].astype(np.int64))
-    if len(r := np.sort(np.concatenate(hot)) if hot else ()):
-        run, k, _, _, first = b.windows(r)
-        at = b.start[run[~first]] + k[~first]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
+    said = _split_told(told)
+    for raw in said[PIECE_OF]:
+        r, w, n = (x.astype(np.int64) for x in _unpack(raw, np.uint32, np.uint8, np.uint8))
+        np.add.at(edge, b.start[r] + w, 1)
+        np.add.at(edge, b.start[r] + w + n + LENGTH - 1, -1)
+    for raw in said[SEGMENT]:
+        whole[_unpack(raw, np.uint32)[0]] = True
     r = np.flatnonzero(whole)
     np.add.at(edge, b.start[r], 1)
     np.add.at(edge, b.end[r] + LENGTH - 1, -1)
@@ -431,19 +431,20 @@ def repeats(docs: DataFrame, blocks: int | None = None, shards: int | None = Non
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row.
 
     blocks and shards follow ``spark.sql.shuffle.partitions`` (4 and 2 a
-    partition) unless given; they decide sizes of tasks, never results.
+    partition) and the input's size (``BLOCK_BYTES``, ``SHARD_BYTES``) unless given;
+    they decide sizes of tasks, never results.
     """
-    parts = shuffle_parts(docs.sparkSession)
-    blocks, shards = blocks or 4 * parts, shards or 2 * parts
+    parts, size = shuffle_parts(docs.sparkSession), plan_bytes(docs)
+    blocks, shards = blocks or max(4 * parts, -(-size // BLOCK_BYTES)), shards or max(2 * parts, -(-size // SHARD_BYTES))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text.alias("text"))
     rows = rows.select("id", "text", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(blocks)).alias("block"))
     grouped = lambda: rows.groupBy("block")
-    said = grouped().applyInArrow(_announce(shards), "shard bigint, block bigint, payload binary")
-    told = said.groupBy("shard").applyInArrow(_answer(hot), _BLOCK_SCHEMA)
-    sent = grouped().cogroup(told.groupBy("block")).applyInArrow(_contest(shards), "shard bigint, hot boolean, block bigint, payload binary")
-    settled = sent.groupBy("shard", "hot").applyInArrow(_settle, _BLOCK_SCHEMA)
-    both = told.select("block", "payload", F.lit(False).alias("settled")).unionByName(settled.select("block", "payload", F.lit(True).alias("settled")))
+    said = grouped().applyInArrow(_announce(shards), _SENT)
+    told = said.groupBy("shard", "by").applyInArrow(_answer(hot), _TOLD)
+    sent = grouped().cogroup(told.groupBy("block")).applyInArrow(_contest(shards), _SENT)
+    settled = sent.groupBy("shard").applyInArrow(_settle, _TOLD)
+    both = told.filter(F.col("by") == SEGMENT).unionByName(settled)
     return grouped().cogroup(both.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

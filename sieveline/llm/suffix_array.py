@@ -5,7 +5,9 @@ sorts the leftmost-smaller (LMS) substrings by inducing, names them, sorts the
 string of names recursively where names repeat, and induces all suffixes from
 the sorted LMS ones in two linear scans. For bytes the scans run bucket by
 bucket as array operations; the recursion, whose alphabet is large and whose
-string is at most half as long, scans entry by entry.
+string is at most half as long, scans entry by entry. Blocks are ordered by
+character with a radix sort, numpy's stable sort of 16-bit keys, so all is linear
+in the string; common prefixes are asked for up to a constant length.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: list[int]) -> np.ndarray:
     """All suffixes from LMS positions in order. Scans buckets up for the larger type, down for the smaller."""
     n = len(t)
+    t = t.astype(np.uint16)
     sa = np.full(n, -1, np.int64)
     count = np.bincount(t[lms], minlength=len(starts))
     first = ends - count
@@ -195,12 +198,29 @@ def _recurse(t: list[int], k: int) -> list[int]:
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """PLCP: for each text position, the common prefix with the suffix before it in the array, at most ``cap``."""
+    """PLCP: for each text position, the common prefix with the suffix before it in the array, at most ``cap``.
+
+    Bytes are compared eight at a time; the unique sentinel ends every comparison.
+    """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     plcp = np.zeros(n, np.int32)
     at = np.flatnonzero(before >= 0)
+    if t.max(initial=0) < 256:
+        padded = np.zeros(n + cap + 16, np.uint8)
+        padded[:n] = t
+        words = np.ndarray((n + cap + 8,), "<u8", padded, 0, (1,))
+        for k in range(0, cap, 8):
+            x = words[at + k] ^ words[before[at] + k]
+            differ = x != 0
+            x = x[differ]
+            plcp[at[differ]] = np.minimum(cap, k + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // 8)
+            at = at[~differ]
+            if not len(at):
+                break
+        plcp[at] = cap
+        return plcp
     for k in range(cap):
         at = at[np.maximum(at, before[at]) + k < n]
         at = at[t[at + k] == t[before[at] + k]]
