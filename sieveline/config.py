@@ -27,7 +27,7 @@ class StoreSettings:
 @dataclass
 class EmbeddingSettings:
     provider: str = "hash"
-    model: str = "hash-v1"
+    model: str | None = None  # the provider's usual one
     dimensions: int = 384
     batch_size: int = 256
     api_key: str | None = None
@@ -182,8 +182,7 @@ def check(s: Settings) -> None:
             raise ConfigurationError(why)
     for registry, name in ((embedders, s.embedding.provider), (fusions, h.fusion), (rerankers, s.reranking.strategy)):
         registry.get(name)
-    if c.strategy != "hierarchical":
-        chunkers.get(c.strategy)
+    chunkers.get(c.strategy)
     for name in (*h.components, *([s.retrieval.default] if s.retrieval.default != "hybrid" else [])):
         retrievers.get(name)
 

@@ -180,6 +180,8 @@ def semantic(breakpoint_percentile: float = 0.95, buffer_size: int = 1, max_chun
 
 def with_chunks(docs: DataFrame, spans: Callable[[Column], Column], id_col: str = "id", text_col: str = "content", counter: str = "approx", name: str = "fixed") -> DataFrame:
     """One row per chunk: document_id, position, content, start_char, end_char, token_count, checksum, chunk_id, chunker."""
+    if getattr(spans, "levels", False):
+        return _with_levels(docs, spans, id_col, text_col, counter).withColumn("chunker", F.lit(name))
     rows = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("_t"), F.posexplode(spans(F.col(text_col))).alias("position", "_s"))
     rows = rows.select("document_id", "position", F.substring("_t", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("content"), F.col("_s.start").alias("start_char"), F.col("_s.end").alias("end_char"))
     return _identified(rows, counter).withColumn("chunker", F.lit(name))
@@ -190,31 +192,46 @@ def _identified(rows: DataFrame, counter: str) -> DataFrame:
     return rows.withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("position"), F.col("checksum")))
 
 
-def hierarchical_chunks(docs: DataFrame, parent_size: int = 2048, child_size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "content", counter: str = "approx") -> DataFrame:
+_LEVELS = "array<struct<start: int, end: int, level: string, position: int, parent_index: int, child_count: int>>"
+
+
+def hierarchical_spans(text: str, parent_size: int, child_size: int, overlap: int, count: Callable[[str], int]) -> list[dict]:
     """Parents and, inside each, children; children take the first positions of a document, parents the ones after."""
-    _check(0 <= overlap < child_size < parent_size, "sizes must be parent > child > overlap")
+    parents = fixed_spans(text, parent_size, 0, count)
+    inner = [[(a + s, a + e) for s, e in fixed_spans(text[a:b], child_size, overlap, count)] for a, b in parents]
+    out, at, total = [], 0, sum(map(len, inner))
+    for k, ((a, b), kids) in enumerate(zip(parents, inner)):
+        out.append({"start": a, "end": b, "level": "parent", "position": total + k, "parent_index": k, "child_count": len(kids)})
+        for s, e in kids:
+            out.append({"start": s, "end": e, "level": "child", "position": at, "parent_index": k, "child_count": None})
+            at += 1
+    return out
+
+
+@chunkers.plugin("hierarchical")
+def hierarchical(parent_size: int = 2048, chunk_size: int = 512, overlap: int = 64, counter: str = "approx"):
+    _check(0 <= overlap < chunk_size < parent_size, "sizes must be parent > child > overlap")
     count = COUNTERS[counter]
 
-    @F.pandas_udf("array<struct<start: int, end: int, level: string, position: int, parent_index: int, child_count: int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            rows, at = [], 0
-            parents = fixed_spans(t or "", parent_size, 0, count)
-            inner = [[(a + s, a + e) for s, e in fixed_spans(t[a:b], child_size, overlap, count)] for a, b in parents]
-            total = sum(map(len, inner))
-            for k, ((a, b), kids) in enumerate(zip(parents, inner)):
-                rows.append({"start": a, "end": b, "level": "parent", "position": total + k, "parent_index": k, "child_count": len(kids)})
-                for s, e in kids:
-                    rows.append({"start": s, "end": e, "level": "child", "position": at, "parent_index": k, "child_count": None})
-                    at += 1
-            out.append(rows)
-        return pd.Series(out, dtype=object)
-
-    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("_t"), F.explode(cut(F.col(text_col))).alias("_s"))
+    @F.pandas_udf(_LEVELS)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([hierarchical_spans(t or "", parent_size, chunk_size, overlap, count) for t in texts], dtype=object)
+
+    run.levels = True
+    return run
+
+
+def _with_levels(docs: DataFrame, cut: Callable[[Column], Column], id_col: str, text_col: str, counter: str) -> DataFrame:
+    """A child's parent_id is made in its document's row, from the parent's span beside its own: nothing is joined."""
+    rows = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("_t"), cut(F.col(text_col)).alias("_all"))
     part = lambda s, e: F.substring("_t", s + 1, e - s)
-    rows = rows.select("document_id", F.col("_s.position").alias("position"), part(F.col("_s.start"), F.col("_s.end")).alias("content"), F.col("_s.start").alias("start_char"), F.col("_s.end").alias("end_char"), F.col("_s.level").alias("chunk_level"), F.col("_s.parent_index").alias("parent_index"), F.col("_s.child_count").alias("child_count"))
-    rows = _identified(rows, counter)
-    parents = rows.filter("chunk_level = 'parent'").select("document_id", "parent_index", F.col("chunk_id").alias("_parent"))
-    joined = rows.join(parents, ["document_id", "parent_index"], "left")
-    return joined.withColumn("parent_id", F.when(F.col("chunk_level") == "child", F.col("_parent"))).drop("_parent")
+    identified = lambda p: chunk_id(F.col("document_id"), p["position"], checksum(part(p["start"], p["end"])))
+    rows = rows.withColumn("_parents", F.transform(F.filter("_all", lambda x: x["level"] == "parent"), identified))
+    rows = rows.select("document_id", "_t", "_parents", F.explode("_all").alias("_s"))
+    child = F.when(F.col("_s.level") == "child", F.get("_parents", F.col("_s.parent_index")))
+    return _identified(rows.select("document_id", F.col("_s.position").alias("position"), part(F.col("_s.start"), F.col("_s.end")).alias("content"), F.col("_s.start").alias("start_char"), F.col("_s.end").alias("end_char"), F.col("_s.level").alias("chunk_level"), F.col("_s.parent_index").alias("parent_index"), F.col("_s.child_count").alias("child_count"), child.alias("parent_id")), counter)
+
+
+def hierarchical_chunks(docs: DataFrame, parent_size: int = 2048, child_size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "content", counter: str = "approx") -> DataFrame:
+    """Both levels as rows: those of ``with_chunks`` with chunk_level, parent_index, child_count and a child's parent_id."""
+    return _with_levels(docs, hierarchical(parent_size, child_size, overlap, counter), id_col, text_col, counter)

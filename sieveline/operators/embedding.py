@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import DimensionMismatchError, ProviderUnavailableError
+from ..errors import DimensionMismatchError, EmbeddingError, ProviderUnavailableError
 from ..registry import embedders
+from ..retry import retry
 
 _WORD = re.compile(r"\w+")
 #: USD per million tokens of remote models; local models cost nothing.
+#: model of a provider where none is named
+MODELS = {"hash": "hash-v1", "sentence_transformers": "all-MiniLM-L6-v2", "openai": "text-embedding-3-small"}
 PRICES = {"openai:text-embedding-3-small": 0.02, "openai:text-embedding-3-large": 0.13, "openai:text-embedding-ada-002": 0.10}
 
 
@@ -42,7 +45,7 @@ class Hashing:
     provider, model = "hash", "hash-v1"
     _shared: dict[int, Hashing] = {}
 
-    def __init__(self, dimensions: int = 384, ngram: int = 3):
+    def __init__(self, dimensions: int = 384, ngram: int = 3, **_):
         self.dimensions, self.ngram, self._known = dimensions, ngram, {}
 
     @classmethod
@@ -83,19 +86,42 @@ class Hashing:
 embedders.register("hash", Hashing)
 
 
-def _missing(package: str):
-    def make(**_):
-        raise ProviderUnavailableError(f"this embedder needs the package {package}, which isn't installed")
+class Passed:
+    """A model given as a function ``texts -> vectors``, called with up to ``batch_size`` texts, again after a TransientError; its vectors are checked and scaled to length 1."""
+
+    def __init__(self, provider: str, encode: Callable[[list[str]], object], dimensions: int, model: str | None = None, batch_size: int = 256):
+        self.provider, self.model, self.dimensions, self.encode, self.batch_size = provider, model or MODELS.get(provider, provider), dimensions, encode, max(1, batch_size)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        parts = [np.zeros((0, self.dimensions))]
+        for a in range(0, len(texts), self.batch_size):
+            some = [t or "" for t in texts[a : a + self.batch_size]]
+            got = np.asarray(retry(lambda s=some: self.encode(s)), dtype=float)
+            if got.ndim != 2 or len(got) != len(some):
+                raise EmbeddingError(f"{self.provider} gave {len(got)} vectors for {len(some)} texts")
+            if got.shape[1] != self.dimensions:
+                raise DimensionMismatchError(self.dimensions, got.shape[1])
+            parts.append(got)
+        out = np.concatenate(parts)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def _passed(provider: str, package: str):
+    def make(dimensions: int = 384, encode: Callable[[list[str]], object] | None = None, model: str | None = None, batch_size: int = 256, **_):
+        if encode is None:
+            raise ProviderUnavailableError(f"{provider} needs a function texts -> vectors (encode=), as the package {package} isn't installed")
+        return Passed(provider, encode, dimensions, model, batch_size)
 
     return make
 
 
-embedders.register("sentence_transformers", _missing("sentence-transformers"))
-embedders.register("openai", _missing("openai"))
+embedders.register("sentence_transformers", _passed("sentence_transformers", "sentence-transformers"))
+embedders.register("openai", _passed("openai", "openai"))
 
 
 def embed(text: Column, provider: str = "hash", **options) -> Column:
-    """array<double> per text; the model is built once per Python worker."""
+    """array<double> per text; the model is built once per Python worker. options: dimensions, model, batch_size, encode."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -109,5 +135,6 @@ def embed(text: Column, provider: str = "hash", **options) -> Column:
     return run(text)
 
 
-def model_key(provider: str, model: str) -> str:
-    return f"{provider}:{model}"
+def model_key(provider: str, model: str | None = None) -> str:
+    """The name under which vectors are stored and searched."""
+    return f"{provider}:{model or MODELS.get(provider, provider)}"

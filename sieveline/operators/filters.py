@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -35,16 +36,22 @@ class SearchFilters:
 COLUMNS = {"source_types": "source_type", "source_ids": "source_id", "document_ids": "id", "file_types": "file_type", "authors": "author", "repositories": "repository"}
 
 
-def predicate(f: SearchFilters, columns: dict[str, str] | None = None, created: str = "created_at", tags: str = "tags", metadata: str = "metadata") -> Column:
-    """Never null: what is missing doesn't match."""
+def predicate(f: SearchFilters, columns: dict[str, str] | None = None, created: str = "created_at", tags: str = "tags", metadata: str = "metadata", present: Iterable[str] | None = None) -> Column:
+    """Never null: what is missing doesn't match. present: the table's columns; a field without one is read from the metadata."""
     names = COLUMNS | (columns or {})
-    terms = [F.col(c).isin(*getattr(f, k)) for k, c in names.items() if getattr(f, k)]
+
+    def field_of(name: str, kind: str) -> Column:
+        if present is None or name in present:
+            return F.col(name)
+        return F.try_variant_get(F.try_parse_json(F.col(metadata).cast("string")), f"$.{name}", kind)
+
+    terms = [field_of(c, "string").isin(*getattr(f, k)) for k, c in names.items() if getattr(f, k)]
     if f.created_after is not None:
         terms.append(F.col(created) >= F.lit(f.created_after))
     if f.created_before is not None:
         terms.append(F.col(created) <= F.lit(f.created_before))
     if f.tags:
-        terms.append(F.arrays_overlap(F.col(tags), F.array(*[F.lit(t) for t in f.tags])))
+        terms.append(F.arrays_overlap(field_of(tags, "array<string>"), F.array(*[F.lit(t) for t in f.tags])))
     if f.metadata:
         terms.append(contains(F.try_parse_json(F.col(metadata).cast("string")), f.metadata))
     return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in terms], F.lit(True))

@@ -6,9 +6,12 @@ window that Spark limits per partition before it shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,16 +37,27 @@ def top_k(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 
 def postings(chunks: DataFrame, terms: Callable[[Column], Column] = simple_terms) -> DataFrame:
-    """(chunk_id, term, tf, dl), one row per chunk and term."""
-    rows = chunks.select("chunk_id", terms(F.col("text")).alias("ts"))
-    rows = rows.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """The columns of ``chunks`` but text, with (term, tf, dl): one row per chunk and term."""
+    keys = [c for c in chunks.columns if c != "text"]
+    rows = chunks.select(*keys, terms(F.col("text")).alias("ts"))
+    rows = rows.select(*keys, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+#: query terms that go into the scan as literals, where the sorted postings let it skip row groups
+PUSHED_TERMS = 1_000
+
 
+def bm25_index_scores(queries: DataFrame, index: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75, terms: Callable[[Column], Column] = simple_terms, tf_cap: int | None = None) -> DataFrame:
+    """``bm25_scores`` from an index: postings (chunk_id, term, tf, dl) and lengths (chunk_id, n_terms), both filtered alike.
 
-def write_index(chunks: DataFrame, path: str, terms: Callable[[Column], Column] = simple_terms) -> None:
-    """Postings sorted by term, so that row groups a search doesn't need are skipped, and chunk lengths."""
-    postings(chunks, terms).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    chunks.select("chunk_id", F.size(terms(F.col("text"))).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    Only the postings of query terms are read; statistics come from the lengths.
+    """
+    wanted = small(query_terms(queries, terms))
+    asked = [r[0] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    hits = index.filter(F.col("term").isin(*asked)) if len(asked) <= PUSHED_TERMS else index.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("avgdl"))
+    return score_postings(wanted, hits.select("chunk_id", "term", "tf", "dl"), stats, k1, b, tf_cap)
 
 
 def query_terms(queries: DataFrame, terms: Callable[[Column], Column] = simple_terms) -> DataFrame:
@@ -82,24 +96,74 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, **options) -> DataF
     return top_k(bm25_scores(queries, chunks, **options), k).withColumn("retriever", F.lit("bm25"))
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of every query vector with every vector. Norms are taken once a row; a zero vector has no score.
+#: queries whose vectors are in memory together
+QUERY_BLOCK = 4096
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score): by cosine, at least the k best rows of every Arrow batch for each query, ties at 9 digits with them.
 
-    The queries are the stated set: broadcast while small, so the join is a
-    nested loop over the scan of ``vectors`` and nothing is shuffled before top-k.
+    The queries are the stated set: their number is counted and they go in blocks
+    of ``QUERY_BLOCK``, each one matrix product a batch of the scan of
+    ``vectors``. So what reaches the shuffle is k rows a query and batch, not all
+    pairs. A zero or null vector, or one of another size than the queries', has
+    no score. others: a row is no hit of the query of its own id.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda d, i, v, o: d.select(i, F.col(v).cast("array<double>").alias(o)).withColumn("_n", norm(F.col(o))).filter("_n > 0").select(i, F.transform(o, lambda x: x / F.col("_n")).alias(o))
-    q, c = unit(queries, "query_id", "vector", "qv"), unit(vectors, "chunk_id", "vector", "cv")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return c.join(small(q, 50_000), F.lit(True)).select("query_id", "chunk_id", dot.alias("score"))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    n = -(-q.count() // QUERY_BLOCK)
+    parts = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == p) if n > 1 else q for p in range(max(1, n))]
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    rows = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    out = None
+    for part in parts:
+        block = part.orderBy("query_id").toArrow()
+        found = rows.mapInArrow(_best_of(block, k, others), types)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matrix(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the rows with a vector of the size and without zero length."""
+    lens = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    size = int(lens.max(initial=0)) if size is None else size
+    at = np.flatnonzero(lens == size) if size else np.zeros(0, np.int64)
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+    m = np.nan_to_num(flat.astype(float).reshape(len(at), max(1, size))) if len(at) else np.zeros((0, max(1, size)))
+    norm = np.linalg.norm(m, axis=1)
+    good = norm > 0
+    return at[good], m[good] / norm[good, None]
+
+
+def _best_of(block: pa.Table, k: int, others: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = block.column("query_id").combine_chunks()
+        places, q = _matrix(block.column("vector").combine_chunks())
+        ids = ids.take(pa.array(places))
+        for b in batches:
+            at, v = _matrix(b.column(1), q.shape[1])
+            names = b.column(0).take(pa.array(at))
+            i = j = np.zeros(0, np.int64)
+            s = np.zeros((0, 0))
+            if len(at) and len(ids) and k > 0:
+                s = q @ v.T
+                if others:
+                    own = pc.index_in(ids, names).to_pylist()
+                    for row, col in enumerate(own):
+                        if col is not None:
+                            s[row, col] = -np.inf
+                r = np.round(s, 9)
+                limit = np.partition(r, -k, axis=1)[:, -k] if k < r.shape[1] else np.full(len(r), -9.0)
+                i, j = np.nonzero((r >= limit[:, None]) & np.isfinite(s))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), names.take(pa.array(j)), pa.array(s[i, j] if len(i) else [], pa.float64())], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 @retrievers.plugin("dense")
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, model_key: str | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, model_key: str | None = None, others: bool = False) -> DataFrame:
     if model_key is not None:
         vectors = vectors.filter(F.col("model_key") == model_key)
-    return top_k(dense_scores(queries, vectors), k).withColumn("retriever", F.lit("dense"))
+    return top_k(nearest(queries, vectors, k, others), k).withColumn("retriever", F.lit("dense"))
 
 
 def weights_of(names: list[str], weights: dict[str, float] | None) -> dict[str, float]:

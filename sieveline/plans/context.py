@@ -2,54 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.stem import english_terms
-from ..functions.text import simple_terms
+from ..errors import StorageError
 from ..operators import retrieval as R
-from ..operators.embedding import embed
+from ..operators.embedding import embed, model_key
 from ..operators.filters import SearchFilters, predicate
 from .store import Store
-from .sync import Options, sync
-
-ANALYZERS = {"simple": simple_terms, "english": english_terms}
+from .sync import ANALYZERS, Options, sync
 
 
 class Context:
-    def __init__(self, spark: SparkSession, settings: Settings):
-        self.spark, self.settings = spark, settings
+    """encode: texts -> vectors, for an embedding provider that has no model here."""
+
+    def __init__(self, spark: SparkSession, settings: Settings, encode: Callable | None = None):
+        self.spark, self.settings, self.encode = spark, settings, encode
         self.store = Store(spark, settings.store.path)
 
-    def ingest(self, found: DataFrame, source_type: str, force: bool = False, prune: bool = True, scope: str | None = None) -> DataFrame:
+    def ingest(self, found: DataFrame, source_type: str, force: bool = False, prune: bool = True, scope: str | None = None, fetch: Callable | None = None) -> DataFrame:
         c, e = self.settings.chunking, self.settings.embedding
-        own = {"fixed": ("chunk_size", "overlap"), "sentence": ("chunk_size", "overlap_sentences"), "semantic": ("breakpoint_percentile", "buffer_size", "max_chunk_size", "min_sentences")}
+        own = {"fixed": ("chunk_size", "overlap"), "sentence": ("chunk_size", "overlap_sentences"), "semantic": ("breakpoint_percentile", "buffer_size", "max_chunk_size", "min_sentences"), "hierarchical": ("parent_size", "chunk_size", "overlap")}
         options = {k: getattr(c, k) for k in own.get(c.strategy, ())}
-        return sync(self.store, found, source_type, Options(c.strategy, options, e.provider, e.dimensions, force, prune, scope))
+        return sync(self.store, found, source_type, Options(c.strategy, options, e.provider, e.dimensions, force, prune, scope, e.model, e.batch_size, self.encode, self.settings.lexical.analyzer), fetch)
 
-    def scoped(self, filters: SearchFilters | None) -> tuple[DataFrame, DataFrame]:
-        """Chunks and vectors of the documents that pass the filters, so statistics and candidates agree."""
-        chunks, vectors = self.store.read("chunks"), self.store.read("vectors")
+    def scoped(self, filters: SearchFilters | None) -> dict[str, DataFrame]:
+        """Chunks, vectors and postings of the documents that pass the filters, so statistics and candidates agree."""
+        t = {name: self.store.read(name) for name in ("chunks", "vectors", "postings")}
+        if t["chunks"] is None:
+            raise StorageError("the index is empty; ingest first")
         if filters is not None and not filters.is_empty:
-            keep = self.store.read("documents").filter(predicate(filters)).select(F.col("id").alias("document_id"))
-            chunks, vectors = chunks.join(keep, "document_id", "left_semi"), vectors.join(keep, "document_id", "left_semi")
-        return chunks, vectors
+            docs = self.store.read("documents")
+            keep = docs.filter(predicate(filters, present=docs.columns)).select(F.col("id").alias("document_id"))
+            t = {name: df.join(keep, "document_id", "left_semi") for name, df in t.items()}
+        return t
 
     def search(self, queries: DataFrame, strategy: str | None = None, k: int | None = None, filters: SearchFilters | None = None, reranker: str | None = None, **options) -> DataFrame:
         """(query_id, text) queries -> hits with content, document title and uri."""
         s = self.settings
         strategy, k = strategy or s.retrieval.default, k if k is not None else s.retrieval.top_k
         reranker = reranker or (s.reranking.strategy if s.reranking.enabled else "none")
-        chunks, vectors = self.scoped(filters)
+        t = self.scoped(filters)
+        chunks, vectors = t["chunks"], t["vectors"]
         e = s.embedding
-        key = f"{e.provider}:{e.model}"
+        key = model_key(e.provider, e.model)
         q = queries.filter("length(trim(text)) > 0")
-        qv = q.select("query_id", embed(F.col("text"), e.provider, dimensions=e.dimensions).alias("vector"))
-        texts = chunks.select("chunk_id", F.col("content").alias("text"))
+        qv = q.select("query_id", embed(F.col("text"), e.provider, dimensions=e.dimensions, model=e.model, batch_size=e.batch_size, encode=self.encode).alias("vector"))
+        lexical = {"k1": s.lexical.k1, "b": s.lexical.b, "terms": ANALYZERS[s.lexical.analyzer]}
+
+        def bm25(n: int) -> DataFrame:
+            if self.store.setting("analyzer") == s.lexical.analyzer:
+                return R.top_k(R.bm25_index_scores(q, t["postings"], chunks.select("chunk_id", "n_terms"), **lexical), n).withColumn("retriever", F.lit("bm25"))
+            return R.bm25(q, chunks.select("chunk_id", F.col("content").alias("text")), n, **lexical)  # another analyzer than the index has
+
         make = {
             "dense": lambda n: R.dense(qv, vectors.select("chunk_id", "vector", "model_key"), n, key),
-            "bm25": lambda n: R.bm25(q, texts, n, k1=s.lexical.k1, b=s.lexical.b, terms=ANALYZERS[s.lexical.analyzer]),
+            "bm25": bm25,
         }
         h = s.hybrid
         extra = {"rrf_k": h.rrf_k} if h.fusion == "rrf" else {}

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
 from .errors import ConfigurationError, PluginNotFoundError
 
 
+#: Modules whose import registers the plugins that come with the engine.
+BUILT_IN = ("sources.files", "operators.chunking", "operators.embedding", "operators.retrieval", "operators.metrics")
+_loaded = False
+
+
+def load_built_in() -> None:
+    """On the first look-up, so that it doesn't matter what a program imports."""
+    global _loaded
+    if not _loaded:
+        _loaded = True
+        for name in BUILT_IN:
+            importlib.import_module(f"{__package__}.{name}")
+
+
 class Registry:
     def __init__(self, kind: str):
         self.kind, self._items = kind, {}
@@ -30,6 +45,7 @@ class Registry:
         return deco
 
     def get(self, name: str) -> Callable[..., Any]:
+        load_built_in()
         try:
             return self._items[self.key(name)]
         except KeyError:
@@ -39,12 +55,15 @@ class Registry:
         return self.get(name)(**options)
 
     def names(self) -> list[str]:
+        load_built_in()
         return sorted(self._items)
 
     def as_mapping(self) -> dict[str, Callable[..., Any]]:
+        load_built_in()
         return dict(self._items)
 
     def __contains__(self, name: str) -> bool:
+        load_built_in()
         return self.key(name) in self._items
 
     def __iter__(self) -> Iterator[str]:

@@ -78,7 +78,7 @@ def test_sync_states(spark, tmp_path):
     assert run([b], scope="zzz") == {"b": ("unchanged", 0)}
     gone = run([b])
     assert gone.pop("b") == ("unchanged", 0) and list(gone.values()) == [("deleted", 0)]
-    assert store.health() == {"documents": 1, "chunks": 1, "vectors": 1}
+    assert store.health() == {"documents": 1, "chunks": 1, "vectors": 1, "version": spark.version}
     assert run([]) == {} and store.health()["documents"] == 1
     bad = memory(spark, [("b", "B", "changed"), ("c", "C", "new")]).withColumn("error", F.when(F.col("source_id") == "b", "boom"))
     got = {r["source_id"]: r for r in Y.sync(store, bad, "memory", OPTIONS).collect()}
