@@ -1,4 +1,4 @@
-"""``python -m sieveline.cli``: ingest, search, status, documents, experiment, benchmark, init, version."""
+"""``python -m sieveline.cli``: ingest, search, status, documents, experiment, benchmark, report, migrate, init, version."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 
 from .config import load_settings
 from .errors import EngineError
+from .log import configure
 from .operators.filters import SearchFilters
 from .registry import connectors
 
@@ -22,7 +23,9 @@ def _context(args):
     from .plans.context import Context
 
     spark = SparkSession.builder.appName("sieveline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    return Context(spark, load_settings(args.config))
+    settings = load_settings(args.config)
+    configure(settings.logging)
+    return Context(spark, settings)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,6 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("version")
     sub.add_parser("connectors")
     sub.add_parser("status")
+    sub.add_parser("migrate")
+    sub.add_parser("report").add_argument("results")
     sub.add_parser("init").add_argument("folder", nargs="?", default=".")
     i = sub.add_parser("ingest")
     i.add_argument("path")
@@ -44,6 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--rerank")
     s.add_argument("--source-type", action="append", default=[])
     s.add_argument("--file-type", action="append", default=[])
+    s.add_argument("--author", action="append", default=[])
+    s.add_argument("--repository", action="append", default=[])
+    s.add_argument("--tag", action="append", default=[])
     s.add_argument("--json", action="store_true")
     s.add_argument("--chars", type=int, default=160)
     d = sub.add_parser("documents")
@@ -80,7 +88,15 @@ def _run(args) -> int:
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(TEMPLATE, "utf-8")
         return 0
+    if args.command == "report":
+        from .plans import experiment as X
+
+        print(X.report_md(X.read_baseline(args.results)))
+        return 0
     c = _context(args)
+    if args.command == "migrate":
+        print(json.dumps({"snapshot": c.store.current()}))  # tables carry their schemas; nothing is to be altered
+        return 0
     if args.command == "status":
         print(json.dumps(c.store.health()))
         return 0
@@ -95,7 +111,7 @@ def _run(args) -> int:
         from .functions.text import preview
 
         q = c.spark.createDataFrame([("q", args.query)], "query_id string, text string")
-        f = SearchFilters(source_types=tuple(args.source_type), file_types=tuple(t.lower().lstrip(".") for t in args.file_type))
+        f = SearchFilters(source_types=tuple(args.source_type), file_types=tuple(t.lower().lstrip(".") for t in args.file_type), authors=tuple(args.author), repositories=tuple(args.repository), tags=tuple(args.tag))
         hits = c.search(q, args.strategy, args.top_k, f, args.rerank).orderBy("rank")
         for r in hits.select("rank", "score", "document_title", preview(F.col("content"), args.chars).alias("text")).collect():
             print(json.dumps(r.asDict(), ensure_ascii=False) if args.json else f"{r['rank']:>3} {r['score']:.4f} {r['document_title']}: {r['text']}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import logging
 import os
@@ -22,6 +23,7 @@ SECRET = re.compile(r"(?i)password|secret|token|api_?key|authorization")
 @dataclass
 class StoreSettings:
     path: str = "./knowledge"
+    buckets: int = 16  # of a new store: about one a few gigabytes of documents
 
 
 @dataclass
@@ -78,6 +80,12 @@ class RerankingSettings:
     max_length: int = 512
 
 
+@dataclass
+class LoggingSettings:
+    level: str = "WARNING"
+    json: bool = False
+
+
 @dataclass
 class Settings:
     store: StoreSettings = field(default_factory=StoreSettings)
@@ -87,6 +95,7 @@ class Settings:
     hybrid: HybridSettings = field(default_factory=HybridSettings)
     retrieval: RetrievalSettings = field(default_factory=RetrievalSettings)
     reranking: RerankingSettings = field(default_factory=RerankingSettings)
+    logging: LoggingSettings = field(default_factory=LoggingSettings)
 
 
 def interpolate(value: Any, env: dict[str, str] | None = None) -> Any:
@@ -149,8 +158,13 @@ def load_settings(path: str | None = None, overrides: dict[str, dict] | None = N
         if k.startswith(ENV_PREFIX) and "__" in k:
             section, _, name = k[len(ENV_PREFIX) :].lower().partition("__")
             from_env.setdefault(section, {})[name] = v
-    s = Settings()
-    for layer in (tree, from_env, overrides or {}):
+    return merged(Settings(), tree, from_env, overrides or {})
+
+
+def merged(base: Settings, *layers: dict[str, dict]) -> Settings:
+    """A copy of the settings with layers of sections over it, later ones first, checked."""
+    s = copy.deepcopy(base)
+    for layer in layers:
         for section, values in layer.items():
             if not hasattr(s, section) or not isinstance(values, dict):
                 raise ConfigurationError(f"unknown section {section}")
@@ -176,7 +190,9 @@ def check(s: Settings) -> None:
         (1 <= h.multiplier <= 20 and h.rrf_k >= 1, "hybrid.multiplier is 1 to 20, rrf_k at least 1"),
         (len(set(h.components)) == len(h.components) and "hybrid" not in h.components, "hybrid.components are distinct and not hybrid"),
         (1 <= s.retrieval.top_k <= 1000, "retrieval.top_k is 1 to 1000"),
+        (s.store.buckets >= 1, "store.buckets is at least 1"),
         (2 <= s.embedding.dimensions <= 16000, "embedding.dimensions is 2 to 16000"),
+        (s.logging.level.upper() in logging.getLevelNamesMapping(), "logging.level is a name that Python's logging knows"),
     ):
         if not ok:
             raise ConfigurationError(why)
@@ -190,7 +206,3 @@ def check(s: Settings) -> None:
 def redacted(values: dict[str, Any]) -> dict[str, Any]:
     """For logs: what is named like a secret is hidden."""
     return {k: redacted(v) if isinstance(v, dict) else "***" if v and SECRET.search(k) else v for k, v in values.items()}
-
-
-def logger(name: str) -> logging.Logger:
-    return logging.getLogger(f"sieveline.{name}")

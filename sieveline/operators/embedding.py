@@ -122,6 +122,7 @@ embedders.register("openai", _passed("openai", "openai"))
 
 def embed(text: Column, provider: str = "hash", **options) -> Column:
     """array<double> per text; the model is built once per Python worker. options: dimensions, model, batch_size, encode."""
+    embedders.create(provider, **options)  # what is missing is told here, not by a worker
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

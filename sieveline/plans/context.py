@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..errors import StorageError
+from ..errors import PluginNotFoundError, StorageError
+from ..log import logger, request
 from ..operators import retrieval as R
 from ..operators.embedding import embed, model_key
 from ..operators.filters import SearchFilters, predicate
@@ -21,7 +23,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, settings: Settings, encode: Callable | None = None):
         self.spark, self.settings, self.encode = spark, settings, encode
-        self.store = Store(spark, settings.store.path)
+        self.store = Store(spark, settings.store.path, settings.store.buckets)
 
     def ingest(self, found: DataFrame, source_type: str, force: bool = False, prune: bool = True, scope: str | None = None, fetch: Callable | None = None) -> DataFrame:
         c, e = self.settings.chunking, self.settings.embedding
@@ -40,8 +42,13 @@ class Context:
             t = {name: df.join(keep, "document_id", "left_semi") for name, df in t.items()}
         return t
 
-    def search(self, queries: DataFrame, strategy: str | None = None, k: int | None = None, filters: SearchFilters | None = None, reranker: str | None = None, **options) -> DataFrame:
-        """(query_id, text) queries -> hits with content, document title and uri."""
+    def search(self, queries: DataFrame, strategy: str | None = None, k: int | None = None, filters: SearchFilters | None = None, reranker: str | None = None, timing: dict[str, float] | None = None, **options) -> DataFrame:
+        """(query_id, text) queries -> hits with content, document title and uri.
+
+        timing: filled with milliseconds by stage. Each stage's rows, which the size of
+        the query set bounds, are then held in memory before the next one begins.
+        """
+        clock = Clock(timing)
         s = self.settings
         strategy, k = strategy or s.retrieval.default, k if k is not None else s.retrieval.top_k
         reranker = reranker or (s.reranking.strategy if s.reranking.enabled else "none")
@@ -51,6 +58,9 @@ class Context:
         key = model_key(e.provider, e.model)
         q = queries.filter("length(trim(text)) > 0")
         qv = q.select("query_id", embed(F.col("text"), e.provider, dimensions=e.dimensions, model=e.model, batch_size=e.batch_size, encode=self.encode).alias("vector"))
+        asked = set(s.hybrid.components if strategy == "hybrid" else [strategy])
+        if "dense" in asked:
+            qv = clock.held("embedding_ms", qv)
         lexical = {"k1": s.lexical.k1, "b": s.lexical.b, "terms": ANALYZERS[s.lexical.analyzer]}
 
         def bm25(n: int) -> DataFrame:
@@ -64,13 +74,42 @@ class Context:
         }
         h = s.hybrid
         extra = {"rrf_k": h.rrf_k} if h.fusion == "rrf" else {}
-        make["hybrid"] = lambda n: R.hybrid({c: make[c] for c in h.components}, n, h.fusion, h.multiplier, weights={"dense": h.dense, "bm25": h.bm25}, **extra)
+        one = dict(make)
+        make = {c: (lambda n, c=c: clock.held("retrieval_ms", one[c](n))) for c in one}
+        make["hybrid"] = lambda n: clock.held("fusion_ms", R.hybrid({c: make[c] for c in h.components}, n, h.fusion, h.multiplier, weights={"dense": h.dense, "bm25": h.bm25}, **extra))
+        if strategy not in make:
+            raise PluginNotFoundError(f"no retrieval strategy {strategy!r}; there are {', '.join(sorted(make))}")
         retrieve = make[strategy]
         if reranker not in ("none", "off"):
             inner = retrieve
             retrieve = lambda n: inner(n).join(chunks.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
         hits = R.search(retrieve, k, "none" if reranker == "off" else reranker, s.reranking.top_n, **options)
         hits = hits.drop("content", "query")
+        if reranker not in ("none", "off"):
+            hits = clock.held("reranking_ms", hits)
         docs = self.store.read("documents").select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("uri").alias("document_uri"), "source_type")
         late = chunks.select("chunk_id", "document_id", "content")  # only the winners fetch their text
-        return hits.join(late, "chunk_id").join(docs, "document_id")
+        return clock.held("total_ms", hits.join(late, "chunk_id").join(docs, "document_id"))
+
+    def answer(self, queries: DataFrame, *args, request_id: str | None = None, **options) -> dict:
+        """What ``search`` finds, with the request's id and milliseconds by stage."""
+        with request(request_id) as name:
+            timing: dict[str, float] = {}
+            hits = self.search(queries, *args, timing=timing, **options)
+            logger("search").info("searched", extra={"fields": {"hits": hits.count(), **timing}})
+            return {"request_id": name, "timing": timing, "hits": hits}
+
+
+class Clock:
+    """Times stages by holding their rows, if there is a place to write the times to."""
+
+    def __init__(self, times: dict[str, float] | None):
+        self.times, self.began = times, time.perf_counter()
+
+    def held(self, stage: str, df: DataFrame) -> DataFrame:
+        if self.times is None:
+            return df
+        began = self.began if stage == "total_ms" else time.perf_counter()
+        rows = df.toArrow()
+        self.times[stage] = round(self.times.get(stage, 0.0) + 1000 * (time.perf_counter() - began), 3)
+        return df.sparkSession.createDataFrame(rows.to_pylist(maps_as_pydicts="strict"), df.schema)

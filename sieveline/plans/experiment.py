@@ -6,20 +6,26 @@ import csv
 import io
 import json
 import subprocess
-import time
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import merged
 from ..errors import ConfigurationError
-from ..operators.embedding import PRICES
+from ..functions.text import approx_tokens
+from ..log import logger
+from ..operators.embedding import PRICES, model_key
 from ..operators.metrics import METRICS, evaluate, mean_by_run
 from ..sources.datasets import QuerySet, load_query_set, resolve_labels, resolved
 from .context import Context
 
+#: sections that an experiment may set, and what in them names the sweep instead
+OVERRIDES, AXES = ("chunking", "embedding", "hybrid", "lexical", "reranking", "retrieval"), ("strategies", "strategy", "default", "enabled", "models")
+STAGES = ("total_ms", "embedding_ms", "retrieval_ms", "fusion_ms", "reranking_ms")
 INDEX_TIME = {"chunking.strategies": "chunking strategy", "embedding.models": "embedding model"}
 
 
@@ -60,7 +66,8 @@ def load_experiment(path: str) -> Experiment:
     if not dataset:
         raise ConfigurationError("dataset.path is missing")
     e = Experiment(str(raw.get("name") or p.stem), str(dataset), [str(v) for v in _many(ret.get("strategies") or ret.get("default"))] or ["dense"], rerankers, [int(v) for v in _many(raw.get("top_k"))] or [10], raw.get("hypothesis"))
-    e.overrides = {k: v for k, v in raw.items() if k in ("chunking", "embedding", "hybrid", "lexical") and isinstance(v, dict)}
+    own = {s: {k: x for k, x in v.items() if k not in AXES} for s, v in raw.items() if s in OVERRIDES and isinstance(v, dict)}
+    e.overrides = {s: v for s, v in own.items() if v}
     if len(set(e.strategies)) < len(e.strategies) or any(k < 1 for k in e.top_k):
         raise ConfigurationError("strategies are distinct and top_k positive")
     return e
@@ -98,7 +105,14 @@ def cost_of(tokens: int | None, key: str) -> float | None:
 
 
 def run(context: Context, experiment: Experiment, dataset: QuerySet | None = None) -> dict:
-    """All points of a sweep. A strategy that fails has its error recorded; the others go on."""
+    """All points of a sweep, under the settings with the experiment's own over them.
+
+    Each strategy and reranker searches once, at the greatest depth, and every k is
+    judged from those hits. Queries that fail have their error recorded and are left
+    out of the means; a strategy without any answer has an error, and the others go on.
+    """
+    if experiment.overrides:
+        context = Context(context.spark, merged(context.settings, experiment.overrides), context.encode)
     data = dataset or load_query_set(experiment.dataset)
     size = context.store.health()
     if not size["chunks"]:
@@ -110,41 +124,75 @@ def run(context: Context, experiment: Experiment, dataset: QuerySet | None = Non
         # Only documents that some label could name come to the driver.
         ends = list({n.rsplit("/", 1)[-1] for n in names})
         known = docs.select("id", "source_id").filter(F.regexp_extract("source_id", r"([^/]+)$", 1).isin(*ends))
-        found = resolve_labels(names, [(r["id"], r["source_id"]) for r in known.collect()])
-        labels = context.spark.createDataFrame([(d, n) for n, d in found.items()], "document_id string, label string")
+        named = resolve_labels(names, [(r["id"], r["source_id"]) for r in known.collect()])
+        labels = context.spark.createDataFrame([(d, n) for n, d in named.items()], "document_id string, label string")
     else:
         have = {r[0] for r in context.store.read("chunks").filter(F.col("chunk_id").isin(*names)).select("chunk_id").collect()}
         if set(names) - have:
             raise ConfigurationError(f"unknown chunks {sorted(set(names) - have)[:5]}")
         labels = None
-    runs, outcomes = [], None
+    runs, deepest = [], max(experiment.top_k)
+    tokens = queries.agg(F.coalesce(F.sum(approx_tokens(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
+    key = model_key(context.settings.embedding.provider, context.settings.embedding.model)
     for strategy in experiment.strategies:
+        embeds = strategy == "dense" or strategy == "hybrid" and "dense" in context.settings.hybrid.components
         for reranker in experiment.rerankers:
+            hits, failed, timing = found(context, queries, strategy, deepest, reranker)
             for k in experiment.top_k:
-                point = {"run_id": run_id(strategy, reranker, k), "strategy": strategy, "reranker": reranker, "k": k, "error": None, "metrics": {}}
-                began = time.perf_counter()
-                try:
-                    hits = context.search(queries, strategy, k, reranker=reranker)
+                point = {"run_id": run_id(strategy, reranker, k), "strategy": strategy, "reranker": reranker, "k": k, "error": None, "metrics": {}, "failed_queries": failed}
+                point |= {"latency": {s: summary([v]) for s, v in timing.items() if v or s == "total_ms"}, "query_tokens": tokens if embeds else 0, "cost_usd": cost_of(tokens, key) if embeds else 0.0}
+                if hits is None:
+                    point["error"] = next(iter(failed.values()), "no query")
+                else:
                     keyed = resolved(hits, labels) if labels is not None else hits.withColumn("key", F.col("chunk_id"))
-                    rows = evaluate(keyed.select("query_id", "key", "rank"), judged, (k,)).withColumn("run_id", F.lit(point["run_id"])).withColumn("error", F.lit(None).cast("string"))
+                    errors = context.spark.createDataFrame(list(failed.items()), "query_id string, error string")
+                    rows = evaluate(keyed.select("query_id", "key", "rank"), judged, (k,)).withColumn("run_id", F.lit(point["run_id"])).join(F.broadcast(errors), "query_id", "left")
                     for r in mean_by_run(rows).collect():
                         point["metrics"][f"{r['metric']}@{r['k']}"] = r["value"]
-                except Exception as e:
-                    point["error"] = str(e).splitlines()[0]
-                point["batch_ms"] = round(1000 * (time.perf_counter() - began), 3)
                 runs.append(point)
     made = provenance()
     return {"experiment": asdict(experiment), "dataset": {"checksum": data.checksum, "queries": len(data.queries), **data.meta}, "corpus": size, "provenance": made, "notes": notes(data, context.settings.embedding.provider, bool(made["dirty"])), "runs": runs, "finished_at": datetime.now(timezone.utc).isoformat()}
 
 
+def found(context: Context, queries: DataFrame, strategy: str, k: int, reranker: str) -> tuple[DataFrame | None, dict[str, str], dict[str, float]]:
+    """(hits, errors by query, milliseconds by stage) of all queries at once; if that fails, of each alone, so that one bad query costs only itself."""
+    timing: dict[str, float] = {}
+    try:
+        return context.search(queries, strategy, k, reranker=reranker, timing=timing), {}, timing
+    except Exception as e:
+        logger("experiment").warning("the batch failed, its queries are tried one by one", extra={"fields": {"strategy": strategy, "error": str(e).splitlines()[0]}})
+    hits, failed = None, {}
+    for r in queries.collect():  # the query set, read from a file on the driver
+        one, alone = context.spark.createDataFrame([r], queries.schema), {}
+        try:
+            got = context.search(one, strategy, k, reranker=reranker, timing=alone)
+            hits = got if hits is None else hits.unionByName(got)
+            for s, v in alone.items():
+                timing[s] = round(timing.get(s, 0.0) + v, 3)
+        except Exception as e:
+            failed[r["query_id"]] = str(e).splitlines()[0]
+    return hits, failed, timing
+
+
+def summary(samples: list[float]) -> dict[str, float]:
+    """Percentiles, mean and range at 3 digits; one sample a batch of queries."""
+    q = np.quantile(samples, (0.5, 0.95, 0.99)) if samples else np.zeros(3)
+    values = dict(zip(("p50", "p95", "p99"), q.tolist())) | {"mean": float(np.mean(samples or [0])), "low": min(samples, default=0.0), "high": max(samples, default=0.0)}
+    return {k: round(v, 3) for k, v in values.items()}
+
+
 def metrics_csv(result: dict) -> str:
     """One line a run; blank where unknown."""
     names = [f"{m}@{k}" for k in sorted({r["k"] for r in result["runs"]}) for m in METRICS]
     out = io.StringIO()
     w = csv.writer(out)
-    w.writerow(["run_id", "strategy", "reranker", "k", *names, "batch_ms", "error"])
+    stages = [s for s in STAGES if any(s in r["latency"] for r in result["runs"])]
+    times = [(s, p) for s in stages for p in ("p50", "p95", "p99")]
+    w.writerow(["run_id", "strategy", "reranker", "k", *names, *(f"{s.removesuffix('_ms')}_{p}_ms" for s, p in times), "query_tokens", "cost_usd", "failed_queries", "error"])
     for r in result["runs"]:
-        w.writerow([r["run_id"], r["strategy"], r["reranker"], r["k"], *(f"{r['metrics'][n]:.6f}" if n in r["metrics"] else "" for n in names), f"{r['batch_ms']:.3f}", r["error"] or ""])
+        quality = (f"{r['metrics'][n]:.6f}" if n in r["metrics"] else "" for n in names)
+        spent = (f"{r['latency'][s][p]:.3f}" if s in r["latency"] else "" for s, p in times)
+        w.writerow([r["run_id"], r["strategy"], r["reranker"], r["k"], *quality, *spent, r["query_tokens"], "" if r["cost_usd"] is None else f"{r['cost_usd']:.8f}", len(r["failed_queries"]), r["error"] or ""])
     return out.getvalue()
 
 
@@ -159,7 +207,12 @@ def report_md(result: dict) -> str:
         cell = lambda r, n: "–" if n not in r["metrics"] else f"**{r['metrics'][n]:.4f}**" if len(rows) > 1 and r["metrics"][n] == best[n] else f"{r['metrics'][n]:.4f}"
         lines += [f"## Quality at {k}", "", "| run | " + " | ".join(names) + " |", "|---" * (len(names) + 1) + "|"]
         lines += [f"| {r['strategy']}, {r['reranker']} | " + " | ".join(cell(r, n) for n in names) + " |" for r in rows] + [""]
-    lines += ["## Time per batch of queries", "", *(f"* {r['run_id']}: {r['batch_ms']:.0f} ms" + (f" (failed: {r['error']})" if r["error"] else "") for r in result["runs"]), ""]
+    stages = [s for s in STAGES if any(s in r["latency"] for r in result["runs"])]
+    lines += ["## Milliseconds per batch of queries (p50 / p95 / p99)", "", "| run | " + " | ".join(stages) + " | tokens | USD |", "|---" * (len(stages) + 3) + "|"]
+    spent = lambda r, s: " / ".join(f"{r['latency'][s][p]:.0f}" for p in ("p50", "p95", "p99")) if s in r["latency"] else "–"
+    price = lambda r: "unknown" if r["cost_usd"] is None else f"{r['cost_usd']:.8f}"
+    lines += [f"| {r['run_id']} | " + " | ".join(spent(r, s) for s in stages) + f" | {r['query_tokens']} | {price(r)} |" for r in result["runs"]] + [""]
+    lines += [*(f"* {r['run_id']} failed: {r['error']}" for r in result["runs"] if r["error"]), *(f"* {r['run_id']}: {len(r['failed_queries'])} queries failed and are left out" for r in result["runs"] if r["failed_queries"] and not r["error"]), ""]
     lines += ["## Provenance", "", f"* commit {result['provenance']['commit'] or 'unknown'}", f"* query set {result['dataset']['checksum']}", f"* corpus {json.dumps(result['corpus'])}", "", "## Caveats", "", *(f"* {n}" for n in result["notes"]), "", "## Analysis", "", "(to be written)", ""]
     return "\n".join(lines)
 

@@ -92,7 +92,7 @@ class Store:
     TABLES = {"documents": "id", "chunks": "document_id", "vectors": "document_id", "postings": "document_id"}
     MAX_FOLDERS = 16
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path = spark, (path if "://" in path else os.path.abspath(path)).rstrip("/")
         jvm = self._jvm = spark.sparkContext._jvm
         self._file = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

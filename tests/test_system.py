@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline import cli, config
-from sieveline.errors import ConfigurationError, DatasetError, LabelError, PluginNotFoundError, ProviderUnavailableError, TransientError
+from sieveline.errors import ConfigurationError, DatasetError, LabelError, PluginNotFoundError, ProviderUnavailableError, StorageError, TransientError
 from sieveline.operators.filters import SearchFilters
 from sieveline.plans import experiment as X
 from sieveline.plans import sync as Y
@@ -155,9 +155,141 @@ def test_search_and_experiment(spark, tmp_path, corpus):
     worse["dataset"]["checksum"] = "other"
     with pytest.raises(ConfigurationError):
         X.against_baseline(result, worse)
+    first = result["runs"][0]
+    assert {"total_ms", "retrieval_ms"} <= first["latency"].keys() and first["query_tokens"] == 0 and first["cost_usd"] == 0.0 and not first["failed_queries"]
+    hybrid = result["runs"][-1]
+    assert {"embedding_ms", "fusion_ms"} <= hybrid["latency"].keys() and hybrid["query_tokens"] > 0
+    header = (one / "metrics.csv").read_text().splitlines()[0]
+    assert "total_p50_ms,total_p95_ms,total_p99_ms" in header and "cost_usd" in header
+    assert cli.main(["report", str(one / "results.json")]) == 0
     assert "**" in (one / "report.md").read_text() and X.cost_of(10, "hash:x") == 0.0 and X.cost_of(10, "who:x") is None
 
 
+def test_experiment_overrides_and_failing_queries(spark, tmp_path, monkeypatch):
+    c = Context(spark, settings(tmp_path))
+    c.ingest(memory(spark, [("a", "A", "alpha beta"), ("b", "B", "gamma delta")]), "memory")
+    data = D.QuerySet([{"query_id": "q1", "query": "alpha", "relevant": {"a": 1}}, {"query_id": "q2", "query": "gamma boom", "relevant": {"b": 1}}], "document", {"kind": "synthetic"}, "x")
+    seen, search = [], Context.search
+
+    def searched(self, queries, *args, **options):
+        seen.append((self.settings.lexical.b, args[1]))
+        if queries.filter("text like '%boom%'").count():
+            raise RuntimeError("boom")
+        return search(self, queries, *args, **options)
+
+    monkeypatch.setattr(Context, "search", searched)
+    e = X.Experiment("e", "", ["bm25"], ["off"], [1, 2], overrides={"lexical": {"b": 0.25}})
+    runs = X.run(c, e, data)["runs"]
+    assert seen == [(0.25, 2)] * 3 and c.settings.lexical.b == 0.75  # the batch, then both queries; not once for each k
+    assert [r["failed_queries"] for r in runs] == [{"q2": "boom"}] * 2 and [r["metrics"][f"mrr@{r['k']}"] for r in runs] == [1.0, 1.0]
+    none = X.Experiment("e", "", ["no-such"], ["off"], [1])
+    assert "no-such" in X.run(c, none, data)["runs"][0]["error"]
+    with pytest.raises(ConfigurationError):
+        X.run(c, X.Experiment("e", "", overrides={"lexical": {"b": 7}}), data)
+
+
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), 4)
+    rows = lambda n: [(f"k{i}", f"T{i}", f"text number {i}") for i in range(n)]
+    run = lambda r, **o: Y.sync(store, memory(spark, r), "memory", Y.Options(**(vars(OPTIONS) | o)))
+    run(rows(12))
+    folders = lambda t="documents": store.manifest()[1]["tables"][t]["folders"]
+    before = folders()
+    run(rows(13))  # one more: a folder is appended, no other is touched
+    after = folders()
+    grown = [b for b in after if after[b] != before.get(b)]
+    assert len(grown) == 1 and after[grown[0]][: len(before.get(grown[0], []))] == before.get(grown[0], [])
+    changed = [("k0", "T0", "other text"), *rows(13)[1:]]
+    run(changed)
+    assert len([b for b in after if folders()[b] != after[b]]) == 1
+    docs = {r["source_id"]: r["content"] for r in store.read("documents").collect()}
+    assert docs == {s: c for s, _, c in changed} and store.health()["vectors"] == 13
+    posted = {r["term"] for r in store.read("postings").collect()}
+    assert "other" in posted and "0" not in posted
+    ids = store.read("documents").filter("source_id in ('k1', 'k2')").select("id")
+    assert store.delete_vectors(ids) == 2 and store.health()["vectors"] == 11 and store.health()["chunks"] == 13
+    # Two writers of one snapshot: the second one fails and leaves nothing visible.
+    late = Store(spark, str(tmp_path / "s"))
+    entry = {"documents": late.write("documents", late.read("documents").limit(1))}
+    stale = late.manifest()
+    run(rows(13))
+    late.manifest = lambda: stale
+    now = store.current()
+    with pytest.raises(StorageError):
+        late.publish(entry)
+    assert store.current() == now and store.health()["documents"] == 13 and late.buckets == 4
+
+
+def test_rows_with_a_known_checksum_are_not_fetched(spark, tmp_path):
+    from sieveline.plans.sync import sync
+
+    store = Store(spark, str(tmp_path / "s"))
+    fetched = []
+
+    def fetch(rows):
+        fetched.append(sorted(r[0] for r in rows.select("source_id").collect()))
+        return memory(spark, rows.select("source_id", F.col("source_id").alias("title"), F.concat("source_id", F.lit(" "), "checksum").alias("content")))
+
+    found = lambda *r: spark.createDataFrame(list(r), "source_id string, checksum string")
+    go = lambda *r, **o: {x["source_id"]: x["outcome"] for x in sync(store, found(*r), "memory", Y.Options(dimensions=16, **o), fetch).collect()}
+    assert go(("a", "1"), ("b", "1")) == {"a": "created", "b": "created"}
+    assert go(("a", "1"), ("b", "2")) == {"a": "unchanged", "b": "updated"}
+    assert go(("a", "1"), ("b", "2"), force=True) == {"a": "updated", "b": "updated"}
+    assert fetched[0] == ["a", "b"] and fetched[1] == ["b"] and fetched[2] == ["a", "b"]
+
+
+def test_passed_embedder_and_hierarchical_chunks(spark, tmp_path):
+    words = ["alpha", "beta", "gamma"]
+    encode = lambda texts: [[2.0 * (w in t) for w in words] + [0.1] for t in texts]
+    s = config.load_settings(overrides={"store": {"path": str(tmp_path / "kb")}, "embedding": {"provider": "openai", "dimensions": 4, "batch_size": 1}, "chunking": {"strategy": "hierarchical", "parent_size": 64, "chunk_size": 16, "overlap": 0}}, env={})
+    c = Context(spark, s, encode)
+    c.ingest(memory(spark, [("a", "A", "alpha one " * 30), ("b", "B", "beta two")]), "memory")
+    q = spark.createDataFrame([("q1", "the alpha"), ("q2", "the beta")], "query_id string, text string")
+    answer = c.answer(q, "dense", 1)
+    assert {(r["query_id"], r["document_title"]) for r in answer["hits"].collect()} == {("q1", "A"), ("q2", "B")} and answer["request_id"] and "embedding_ms" in answer["timing"]
+    assert [r["model_key"] for r in c.store.models().collect()] == ["openai:text-embedding-3-small"]
+    chunks = c.store.read("chunks").collect()
+    ids = {r["chunk_id"]: r for r in chunks}
+    assert all((r["chunk_level"] == "parent") == (r["parent_id"] is None) and (r["parent_id"] is None or ids[r["parent_id"]]["content"].find(r["content"]) >= 0) for r in chunks)
+    with pytest.raises(ProviderUnavailableError):
+        Context(spark, s).search(q, "dense", 1)
+
+
+def test_filters_on_metadata_of_a_store(spark, tmp_path):
+    c = Context(spark, settings(tmp_path))
+    rows = memory(spark, [("a", "A", "alpha"), ("b", "B", "alpha"), ("c", "C", "alpha")])
+    meta = F.when(F.col("source_id") == "a", '{"author": "ann", "tags": ["x", "y"], "repository": "r1"}').when(F.col("source_id") == "b", '{"author": "bob", "tags": []}')
+    c.ingest(rows.withColumn("metadata", meta), "memory")
+    q = spark.createDataFrame([("q", "alpha")], "query_id string, text string")
+    for f, want in ((SearchFilters(authors=("ann",)), "A"), (SearchFilters(authors=("ann", "bob")), "AB"), (SearchFilters(tags=("y", "z")), "A"), (SearchFilters(repositories=("r1",)), "A"), (SearchFilters(tags=("z",)), ""), (SearchFilters(), "ABC")):
+        for strategy in ("bm25", "dense"):
+            assert "".join(sorted(r["document_title"] for r in c.search(q, strategy, 5, f).collect())) == want
+
+
+def test_fresh_process_command_line(tmp_path, corpus):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=2 --conf spark.ui.enabled=false pyspark-shell"}
+    call = lambda *a: subprocess.run([sys.executable, "-m", "sieveline.cli", *a], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=600)
+    assert call("connectors").stdout.split() == ["filesystem", "memory", "pdf"]
+    assert json.loads(call("ingest", str(corpus)).stdout.splitlines()[-1]).get("created", 0) >= 4
+    assert "deploy+x y" in call("search", "deployment rollback", "--strategy", "bm25", "--top-k", "1", "--json").stdout
+
+
+def test_logs_hide_secrets_and_name_the_request(capsys):
+    from sieveline import log
+
+    log.configure(config.LoggingSettings("INFO", True))
+    with log.request("r1"):
+        log.logger("x").info("did", extra={"fields": {"api_key": "s", "n": 1}})
+    log.logger("x").debug("not shown")
+    line = json.loads(capsys.readouterr().err)
+    assert line["request_id"] == "r1" and line["api_key"] == "***" and line["n"] == 1 and line["event"] == "did"
+    log.configure(config.LoggingSettings())
+
+
 @pytest.mark.parametrize("line", ["{", '{"query": ""}', '{"query": "q"}', '{"query": "q", "relevant_documents": []}', '{"query": "q", "relevant_documents": {"a": 0}}', '{"query": "q", "relevant_documents": {"a": true}}', '{"query": "q", "relevant_documents": {"a": -1}}', '{"query": "q", "relevant_documents": ["a"], "relevant_chunks": ["b"]}', '{"query": "q", "relevant_documents": ["a"]}\n{"query": "q", "relevant_documents": ["a"]}', '{"query": "q", "relevant_documents": ["a"]}\n{"query": "r", "relevant_chunks": ["a"]}', ""])
 def test_bad_query_sets(tmp_path, line):
     (tmp_path / "s.jsonl").write_text(line)
