@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,15 +274,16 @@ def examples_of(rows: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
     chosen = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     small = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     got = small.mapInArrow(_counted, "doc_id bigint, word array<string>, tf array<bigint>, toxic int").toArrow().sort_by("doc_id")
-    vocabulary: dict[str, int] = {}
-    for w in sorted({w for ws in got.column("word").to_pylist() for w in ws}):
-        vocabulary[w] = len(vocabulary)
+    flat, counts = (got.column(c).combine_chunks().flatten() for c in ("word", "tf"))
+    known = pc.unique(flat)
+    known = known.take(pc.sort_indices(known))  # by bytes: the same numbers everywhere
+    ids, tf = pc.index_in(flat, known).to_numpy(zero_copy_only=False).astype(np.int64), counts.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(got.column("word").combine_chunks()).to_numpy(zero_copy_only=False)).tolist()
     out = []
-    for i, ws, tf, y in zip(*[got.column(c).to_pylist() for c in ("doc_id", "word", "tf", "toxic")]):
-        ids = np.array([vocabulary[w] for w in ws], np.int64)
-        order = np.argsort(ids)
-        out.append((i, ids[order], np.array(tf, np.int64)[order], int(y > 0)))
-    return out, vocabulary
+    for i, y, start, end in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), [0, *ends], ends):
+        order = np.argsort(ids[start:end])
+        out.append((i, ids[start:end][order], tf[start:end][order], int(y > 0)))
+    return out, {w: k for k, w in enumerate(known.to_pylist())}
 
 
 def document_frequency(rows: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
