@@ -365,6 +365,33 @@ def filter_fields(spark, d):
     return _t(spark, d, "documents").filter(predicate(f, {"source_types": "lang", "source_ids": "source"})).select("doc_id")
 
 
+def _stored(spark, d):
+    """The documents in the store's own columns: author, repository and tags are in the metadata alone."""
+    meta = F.to_json(F.struct(F.col("lang").alias("author"), F.col("source").alias("repository"), F.array("lang", "source").alias("tags")))
+    return _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source_type"), F.col("source").alias("source_id"), meta.alias("metadata"))
+
+
+def _kept(spark, d, **fields):
+    docs = _stored(spark, d)
+    return docs.filter(predicate(SearchFilters(**fields), present=docs.columns)).select("doc_id")
+
+
+def filter_authors_metadata(spark, d):
+    return _kept(spark, d, authors=("fr", "es"))
+
+
+def filter_repositories_metadata(spark, d):
+    return _kept(spark, d, repositories=("src1", "src3"), authors=("en",))
+
+
+def filter_tags_metadata(spark, d):
+    return _kept(spark, d, tags=("de", "src2"))
+
+
+def filter_document_ids(spark, d):
+    return _kept(spark, d, document_ids=tuple(str(i) for i in range(0, 500, 7)))
+
+
 def filter_empty(spark, d):
     return _t(spark, d, "documents").filter(predicate(SearchFilters())).select("doc_id")
 
@@ -449,7 +476,7 @@ def chunks_by_position(spark, d):
 
 
 def models_in_index(spark, d):
-    return _t(spark, d, "embeddings").select(F.concat(F.lit("hash:m"), F.col("label").cast("string")).alias("model_key"), F.size("embedding").cast("bigint").alias("dimensions")).distinct()
+    return S.models_of(_t(spark, d, "embeddings").select(F.concat(F.lit("hash:m"), F.col("label").cast("string")).alias("model_key"), F.col("embedding").alias("vector")))
 
 
 def health(spark, d):
@@ -476,7 +503,7 @@ QUERIES = {
         token_count_approx, token_count_ws, normalize_whitespace, document_uuid5, content_checksum, file_checksum, preview_lines,
         chunk_fixed_ws, chunk_fixed_overlap, chunk_fixed_approx, chunk_sentence, chunk_semantic, chunk_hierarchical,
         html_text, json_flatten, markdown_title, embed_hash, vector_normalize,
-        filter_tags_any, filter_metadata_contains, filter_created_between, filter_fields, filter_empty,
+        filter_tags_any, filter_metadata_contains, filter_created_between, filter_fields, filter_authors_metadata, filter_repositories_metadata, filter_tags_metadata, filter_document_ids, filter_empty,
         upsert_documents, replace_chunks, upsert_vectors, vectors_attach, delete_cascade, prune_missing, sync_outcomes, sync_counts, list_documents_paged, chunks_by_position, models_in_index, health, page_of_offset,
     )
 }
@@ -523,11 +550,15 @@ SQL = {
     "chunk_fixed_overlap": _fixed_sql(128, 32),
     "json_flatten": "SELECT event_id, 'k: ' || (props->>'k') AS text FROM events",
     "markdown_title": "SELECT r_regionkey, r_name || ' ##' AS title, '# ' || r_name || ' ##' || chr(10) || chr(10) || 'body of ' || r_name AS text FROM region",
-    "vector_normalize": "SELECT vec_id, round(1::DOUBLE, 6) AS cosine, round(1::DOUBLE, 6) AS size FROM embeddings",
+    "vector_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2) AS v FROM embeddings), n AS (SELECT vec_id, v, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM v) SELECT vec_id, round(list_cosine_similarity(u, v), 6) AS cosine, round(list_inner_product(u, u), 6) AS size FROM n",
     "filter_tags_any": "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src5'",
     "filter_metadata_contains": "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')",
     "filter_created_between": "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'",
     "filter_fields": "SELECT doc_id FROM documents WHERE lang IN ('en', 'es') AND source IN ('src1', 'src2', 'src3')",
+    "filter_authors_metadata": "SELECT doc_id FROM documents WHERE lang IN ('fr', 'es')",
+    "filter_repositories_metadata": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang = 'en'",
+    "filter_tags_metadata": "SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src2'",
+    "filter_document_ids": "SELECT doc_id FROM documents WHERE doc_id < 500 AND doc_id % 7 = 0",
     "filter_empty": "SELECT doc_id FROM documents",
     "upsert_documents": f"WITH o AS {_OLD}, n AS {_NEW} SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, coalesce(o.source_type, n.source_type), coalesce(o.source_id, n.source_id), n.title, coalesce(o.created_at, n.created_at) FROM n LEFT JOIN o ON o.id = n.id",
     "replace_chunks": "SELECT conv_id AS document_id, turn AS position, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0 AND turn < 2) UNION ALL SELECT conv_id, turn, 'new' FROM conversations WHERE conv_id % 3 = 0 AND turn < 2",
