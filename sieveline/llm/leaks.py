@@ -5,10 +5,13 @@
    ``MAX_DF`` of the documents carry no weight, but for the ``RARE`` rarest of
    each item, so that an item copied into very many documents keeps its own.
 2. Passages (``2 * STEP`` words every ``STEP`` words) become TF-IDF vectors. A
-   randomised SVD over the benchmark's items and the passages of a bounded,
-   documented sample of documents (``SAMPLE_DOCS``, lowest hash first) gives the
-   latent space: random projections, power rounds and the final factor are sums
-   over partitions of the passage table.
+   randomised SVD over the benchmark's items and all passages of all documents
+   gives the latent space: random projections, power rounds and the final factor
+   are sums over a table of the weighted words, added up by term in whole numbers
+   of 1 / ``UNIT``, so that neither the order nor the partitions of the documents
+   change it. An item's passage counts as much as ``ITEM_WEIGHT ** 2`` passages
+   for every ``PER_DOCS`` documents, so that the items' share of the space
+   doesn't shrink as the table grows.
 3. Every passage of every document with at least 3 weighted words is projected and compared by cosine with all
    items (the stated query set, in blocks of ``ITEM_BLOCK``); all pairs from
    ``MIN_COSINE`` on that share ``MIN_TERMS`` weighted words (or all that the
@@ -43,15 +46,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, doc_text, docs_table, slices
+from .common import Saved, doc_text, docs_table, shuffle_parts, slices
 
 STEP, RANK, OVERSAMPLE, POWER = 16, 64, 16, 2
-SAMPLE_DOCS, ITEM_BLOCK, COUNT_BLOCK, PAIRS, MIN_WORDS = 500, 2048, 64, 1 << 16, 8
+ITEM_BLOCK, COUNT_BLOCK, PAIRS, MIN_WORDS = 2048, 64, 1 << 16, 8
 #: characters of items that a broadcast holds; a larger query set is searched in parts
 PART_CHARS = 16 << 20
-ITEM_WEIGHT, MAX_DF, RARE, MIN_TERMS, MIN_COSINE = 8.0, 0.02, 6, 4, 0.42
+ITEM_WEIGHT, PER_DOCS, MAX_DF, RARE, MIN_TERMS, MIN_COSINE = 8.0, 500, 0.02, 6, 4, 0.42
 SURE, MAYBE, ANSWER = 0.75, 0.55, 0.7
 SEED = 7
+#: steps of the sums behind the latent space; terms that travel together; passages worked on at once
+UNIT, TERM_BLOCK, PASSAGES = 1 << 30, 16, 1024
 CHUNK_WORDS = 1 << 16
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~¡¿«»‚‘’“”„…–—·•"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -198,16 +203,46 @@ def shared_words(step: np.ndarray, term: np.ndarray, first: np.ndarray, item: np
     return total[ends] - total[ends - lens]
 
 
-def _rows_of(step: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms that occur, unit TF-IDF rows over them) of all passages with any weight, for the sample."""
-    cols, at = np.unique(term, return_inverse=True)
-    first = np.unique(np.concatenate([step - 1, step]))
-    out = np.zeros((len(first), len(cols)), np.float32)
-    for d in (0, 1):
-        k = np.searchsorted(first, step - d)
-        np.add.at(out, (k, at), idf[term])
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return cols, out / np.maximum(norm, 1e-9)
+def unit_rows(step: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each passage and the end of all, term, value): unit TF-IDF rows of all passages with any weight, terms in order."""
+    size = len(idf)
+    key, n = np.unique(np.concatenate([step - 1, step]) * size + np.concatenate([term, term]), return_counts=True)
+    first, term = np.divmod(key, size)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(first)) + 1, [len(key)]])
+    value = n * idf[term]
+    return cut, term, value / np.repeat(np.sqrt(np.add.reduceat(value * value, cut[:-1])), np.diff(cut))
+
+
+class Gram:
+    """A'A basis of passage rows A, as whole numbers of 1 / ``UNIT``: exact sums, whatever the order."""
+
+    def __init__(self, basis: np.ndarray, idf: np.ndarray):
+        self.basis, self.idf = basis, idf
+        self.total = np.zeros(basis.shape, np.int64)
+        self.alone = np.zeros(len(idf), np.int64)  # passages of one term, whose rows are that term's unit vector
+
+    def add(self, step: np.ndarray, term: np.ndarray) -> None:
+        if not len(step):
+            return
+        cut, term, value = unit_rows(step, term, self.idf)
+        lens = np.diff(cut)
+        self.alone += np.bincount(term[cut[:-1][lens == 1]], minlength=len(self.alone))
+        several = np.repeat(lens > 1, lens)
+        term, value, lens = term[several], value[several], lens[lens > 1]
+        ends = np.cumsum(lens)
+        for k in range(0, len(lens), PASSAGES):
+            some = lens[k : k + PASSAGES]
+            begin, end = ends[k] - some[0], ends[k + len(some) - 1]
+            t, v = term[begin:end], value[begin:end, None]
+            rows = np.add.reduceat(v * self.basis[t], np.cumsum(some) - some, axis=0)
+            part = np.rint(v * np.repeat(rows, some, axis=0) * UNIT).astype(np.int64)
+            order = np.argsort(t, kind="stable")
+            t = t[order]
+            at = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
+            self.total[t[at]] += np.add.reduceat(part[order], at, axis=0)
+
+    def sums(self) -> np.ndarray:
+        return self.total + self.alone[:, None] * np.rint(self.basis * UNIT).astype(np.int64)
 
 
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -244,39 +279,81 @@ def document_frequency(known: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def latent_space(known: DataFrame, items: Items, idf: np.ndarray, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Term embeddings (term, rank), weights included, by randomised SVD of TF-IDF passages."""
+def weighted(known: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(step, term): ``passages`` of all documents, one row for about ``CHUNK_WORDS`` words of them."""
+
+    def row(docs: list[np.ndarray]) -> pa.RecordBatch:
+        _, step, term = passages(docs, idf)
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()] if len(x) else [], pa.binary()) for x in (step, term)], ["step", "term"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, total = [], 0
+        for b in slices(batches):
+            for ids in _read(b.column(0)):
+                docs.append(ids)
+                total += len(ids)
+                if total >= CHUNK_WORDS:
+                    yield row(docs)
+                    docs, total = [], 0
+        yield row(docs)
+
+    return known.select("ids").mapInArrow(run, "step binary, term binary")
+
+
+def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'A basis over the passages of ``weighted``, in whole numbers of 1 / ``UNIT``; partial sums meet by term, and the driver gets one row a block of terms."""
+    width = TERM_BLOCK * basis.shape[1]
+    blocks = -(-len(idf) // TERM_BLOCK)
+
+    def batch(at: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Gram(basis, idf)
+        for b in batches:
+            for step, term in zip(_read(b.column(0)), _read(b.column(1))):
+                g.add(step.astype(np.int64), term.astype(np.int64))
+        parts = np.split(g.sums(), range(TERM_BLOCK, len(idf), TERM_BLOCK))
+        some = [k for k, p in enumerate(parts) if p.any()]
+        for k in range(0, len(some), 64):
+            yield batch(some[k : k + 64], [parts[i] for i in some[k : k + 64]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(part, np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield batch(list(sums), list(sums.values()))
+
+    out = np.zeros((blocks, width), np.int64)
+    parts = min(blocks, shuffle_parts(rows.sparkSession))
+    for r in rows.mapInArrow(count, "block int, part binary").repartition(parts, "block").mapInArrow(add, "block int, part binary").collect():
+        part = np.frombuffer(r["part"], np.int64)
+        out[r["block"], : len(part)] = part
+    return out.reshape(-1, basis.shape[1])[: len(idf)]
+
+
+def latent_space(known: DataFrame, items: Items, idf: np.ndarray, n: int) -> np.ndarray:
+    """Term embeddings (term, rank), weights included, by randomised SVD of the TF-IDF passages of all n documents."""
     size = len(idf)
     rank = min(size, RANK + OVERSAMPLE)
     # What the queries say must survive the reduction, so items weigh more than passages.
-    own = [_rows_of(step, term, idf) for w in items.words for _, step, term in [passages([np.array(w)], idf)] if len(step)]
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("ids")
-
-    def gram(basis: np.ndarray) -> np.ndarray:
-        """A'A basis, the sum over partitions of the sample, and the items' own part."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(basis.shape)
-            for b in slices(batches):
-                for ids in _read(b.column(0)):
-                    _, step, term = passages([ids], idf)
-                    if len(step):
-                        cols, a = _rows_of(step, term, idf)
-                        total[cols] += a.T @ (a @ basis[cols])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-        out = np.zeros(basis.shape)
-        for cols, a in own:
-            out[cols] += ITEM_WEIGHT**2 * (a.T @ (a @ basis[cols]))
-        for r in kept.mapInArrow(run, "part binary").collect():  # the sample has at most 8 partitions
-            out += np.frombuffer(r["part"]).reshape(basis.shape)
-        return out
+    _, *own = passages([np.array(w) for w in items.words], idf)
+    weight = ITEM_WEIGHT**2 * max(1.0, n / PER_DOCS)
+
+    def both(basis: np.ndarray) -> np.ndarray:
+        g = Gram(basis, idf)
+        g.add(*own)
+        return (weight * g.sums() + gram(rows.df, basis, idf)) / UNIT
 
-    kept = Saved(sample.coalesce(8), "lsi-sample").df
+    rows = Saved(weighted(known, idf), "passages")
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, rank)))[0]
     for _ in range(POWER):
-        q = np.linalg.qr(gram(q))[0]
-    small = q.T @ gram(q)
+        q = np.linalg.qr(both(q))[0]
+    small = q.T @ both(q)
+    rows.drop()
     _, vectors = np.linalg.eigh((small + small.T) / 2)
     v = q @ vectors[:, ::-1][:, :RANK]
     return (v * idf[:, None]).astype(np.float32)
@@ -430,7 +507,7 @@ def _prepared(docs: DataFrame, items: DataFrame):
     known = Saved(numbered(docs, items.vocabulary), "terms").df
     df, n = document_frequency(known, len(items.vocabulary))
     idf = items.weights(df, n)
-    emb = latent_space(known, items, idf) if items.ids else np.zeros((0, 1), np.float32)
+    emb = latent_space(known, items, idf, n) if items.ids else np.zeros((0, 1), np.float32)
     queries = np.array([emb[w].sum(axis=0) for w in items.words], np.float32).reshape(len(items.ids), emb.shape[1])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     return known, docs.sparkSession.sparkContext.broadcast((items, emb, queries, idf))

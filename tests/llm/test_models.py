@@ -128,6 +128,65 @@ def test_leak_query_against_brute_force(spark):
     assert {(x["doc_id"], x["item_id"]) for x in leaks.query(spark, SF).collect()} == brute_leaks(docs, items) != set()
 
 
+def scattered():
+    """Documents that have few of 76 words each, in pairs whose kind changes along the table, and items of these words."""
+    r = random.Random(21)
+    words = [f"{a}{b}" for a in ("zor", "kel", "mip", "dra") for b in range(19)]
+    items = [(i, " ".join(r.sample(words, 14)) + ".") for i in range(7)] + [(7, " ".join(words))]
+    docs = []
+    for n in range(1500):
+        some = [words[(n // 20 + k * k) % 76] for k in range(n % 5 // 3 * 2)] + ([r.choice(words)] if n % 3 == 0 else [])
+        docs.append((n, " ".join(["filler"] * r.randint(0, 40) + some + ["filler"] * r.randint(0, 60))))
+    return [*docs, (None, None), (5, ""), *[(2000 + i, f"filler {t} filler") for i, t in items]], items
+
+
+def brute_space(docs, items):
+    """(words, inner products of their embeddings): all passages of all documents as dense rows, eigenvectors of their products."""
+    own = [plain_words(t) for _, t in items]
+    words = sorted({w for x in own for w in x})
+    number = {w: k for k, w in enumerate(words)}
+    df = np.array([sum(w in plain_words(t) for _, t in docs) for w in words])
+    idf = np.log((1 + len(docs)) / (1 + df)) + 1
+    keep = df <= 0.02 * len(docs)
+    for x in own:
+        keep[sorted({number[w] for w in x}, key=lambda k: (df[k], k))[:6]] = True
+    idf = np.where(keep, idf, 0)
+
+    def products(texts):
+        total = np.zeros((len(words), len(words)))
+        for w in texts:
+            for at in range(-16, len(w), 16):
+                row = np.zeros(len(words))
+                for x in w[max(0, at) : at + 32]:
+                    if x in number:
+                        row[number[x]] += idf[number[x]]
+                if row.any():
+                    row /= np.linalg.norm(row)
+                    total += np.outer(row, row)
+        return total
+
+    both = 64 * len(docs) / 500 * products(own) + products([plain_words(t) for _, t in docs])
+    v = np.linalg.eigh(both)[1][:, ::-1][:, :64]
+    return words, (v @ v.T) * np.outer(idf, idf)
+
+
+def test_latent_space_is_that_of_all_documents(spark):
+    data, items = scattered()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words, want = brute_space(data, items)
+    assert (want.diagonal() > 0).sum() > 64  # the space can't hold all of them, so what it keeps depends on the documents
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    spaces = []
+    for some in (docs.coalesce(1), docs.orderBy(docs.text.desc())):
+        found, emb, _, _ = leaks._prepared(some, bench)[1].value
+        assert list(found.vocabulary) == words
+        assert np.abs(emb @ emb.T - want).max() < 1e-3
+        spaces.append(emb.tobytes())
+    assert len(set(spaces)) == 1
+    got = {(x["doc_id"], x["item_id"]) for x in leaks.matches(docs, bench).collect()}
+    assert got == brute_leaks(data, items) >= {(2000 + i, i) for i, _ in items}
+
+
 def test_hot_items_are_found_at_every_alignment():
     r = random.Random(5)
     words = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra", "fun", "gol") for b in ("a", "e", "ita", "ou") for c in ("n", "st", "rk", "l")]
