@@ -187,6 +187,20 @@ def test_latent_space_is_that_of_all_documents(spark):
     assert got == brute_leaks(data, items) >= {(2000 + i, i) for i, _ in items}
 
 
+def test_decontamination_stage_fits_on_all_its_documents(spark, tmp_path, monkeypatch):
+    cp = pytest.importorskip("corpus_pipeline")
+    data, items = scattered()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen, prepared = spark.createDataFrame(data, "doc_id long, text string"), [], leaks._prepared
+    monkeypatch.setattr(leaks, "_prepared", lambda *a: seen.append(prepared(*a)) or seen[-1])
+    got = [(x["doc_id"], x["text"]) for x in cp.decontamination(spark, docs, str(tmp_path)).collect()]
+    gone = {d for d, _ in brute_leaks(data, items)}
+    assert sorted(got, key=H.key) == sorted((x for x in data if x[0] not in gone), key=H.key)
+    (_, shared), (_, want) = seen[0], brute_space(data, items)
+    emb = shared.value[1]
+    assert len(seen) == 1 and np.abs(emb @ emb.T - want).max() < 1e-3
+
+
 def test_hot_items_are_found_at_every_alignment():
     r = random.Random(5)
     words = [f"{a}{b}{c}" for a in ("zor", "kel", "mip", "dra", "fun", "gol") for b in ("a", "e", "ita", "ou") for c in ("n", "st", "rk", "l")]
