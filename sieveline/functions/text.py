@@ -24,7 +24,9 @@ def normalize_whitespace(text: Column) -> Column:
 
 def approx_tokens(text: Column) -> Column:
     """Estimated model tokens: words of six letters or more weigh a quarter of their length, half to even; all else 1."""
-    weight = lambda acc, w: acc + F.when(F.length(w) >= 6, F.greatest(F.lit(1), F.bround(F.length(w) / 4.0, 0).cast("int"))).otherwise(F.lit(1))
+    n = lambda w: F.length(w)
+    quarter = lambda w: F.shiftright(n(w) + F.lit(1) + F.shiftright(n(w), 2).bitwiseAND(1), 2)
+    weight = lambda acc, w: acc + F.when(n(w) >= 6, quarter(w)).otherwise(F.lit(1))
     return F.aggregate(F.regexp_extract_all(text, F.lit(WORD_OR_SIGN), F.lit(0)), F.lit(0), weight)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +23,6 @@ MODELS = {"hash": "hash-v1", "sentence_transformers": "all-MiniLM-L6-v2", "opena
 PRICES = {"openai:text-embedding-3-small": 0.02, "openai:text-embedding-3-large": 0.13, "openai:text-embedding-ada-002": 0.10}
 
 
-def cosine_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """1 - cosine; 1 where either vector is zero."""
-    size = float(np.linalg.norm(a) * np.linalg.norm(b))
-    return 1.0 - float(a @ b) / size if size else 1.0
-
-
 def l2_normalize(v: Column) -> Column:
     """A zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
@@ -39,14 +34,51 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def neighbour_distances(m: np.ndarray) -> list[float]:
+    """1 - cosine of each row and the next; 1 where either is zero. Every product is a dot product of two vectors, so that equal rows differ in no bit."""
+    dot = lambda a, b: np.matmul(a[:, None, :], b[:, :, None])[:, 0, 0]
+    norm = np.sqrt(dot(m, m))
+    size = norm[:-1] * norm[1:]
+    return (1.0 - np.divide(dot(m[:-1], m[1:]), size, out=np.zeros(len(size)), where=size > 0)).tolist()
+
+
+#: words that a worker remembers; hashed features in memory together
+KNOWN_WORDS, FEATURES = 250_000, 1 << 18
+#: texts taken out of Arrow together
+TEXTS = 256
+
+
+class _Made(dict):
+    """Makes what it doesn't have."""
+
+    def __init__(self, make: Callable[[str], int]):
+        self.make = make
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = self.make(key)
+        return n
+
+
+_WEIGHTS = np.array([1.0, -1.0, 0.35, -0.35])
+
+
 class Hashing:
-    """Words and character n-grams hashed with a sign into ``dimensions``; a word's contributions are remembered."""
+    """Words and character n-grams hashed with a sign into ``dimensions``.
+
+    The features of known words lie in one flat array, so a text is gathered from
+    it as a whole and summed up, feature by feature, in the order of its words.
+    """
 
     provider, model = "hash", "hash-v1"
     _shared: dict[int, Hashing] = {}
 
     def __init__(self, dimensions: int = 384, ngram: int = 3, **_):
-        self.dimensions, self.ngram, self._known = dimensions, ngram, {}
+        self.dimensions, self.ngram = dimensions, ngram
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known, self._grams = _Made(self._learn), _Made(lambda g: self._code("c:" + g, 2))
+        self._codes, self._start = array("i"), array("q", [0])
 
     @classmethod
     def shared(cls, dimensions: int) -> Hashing:
@@ -54,34 +86,64 @@ class Hashing:
             cls._shared[dimensions] = cls(dimensions)
         return cls._shared[dimensions]
 
-    def _slot(self, feature: str) -> tuple[int, float]:
-        d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-        return int.from_bytes(d[:4], "big") % self.dimensions, 1.0 if d[4] % 2 else -1.0
-
-    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        if w not in self._known:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            k, s = self._slot("w:" + w)
-            at, add = [k], [s]
-            if len(w) > self.ngram:
-                marked = "^" + w + "$"
-                for i in range(len(marked) - self.ngram + 1):
-                    k, s = self._slot("c:" + marked[i : i + self.ngram])
-                    at.append(k)
-                    add.append(0.35 * s)
-            self._known[w] = np.array(at), np.array(add)
-        return self._known[w]
+    def _code(self, feature: str, kind: int) -> int:
+        """The slot and, in the last two bits, the place of its weight in ``_WEIGHTS``."""
+        d = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest())
+        return (d >> 32) % self.dimensions << 2 | kind | (not d >> 24 & 1)
+
+    def _learn(self, w: str) -> int:
+        codes, n = self._codes, self.ngram
+        codes.append(self._code("w:" + w, 0))
+        if len(w) > n:
+            marked, grams = f"^{w}$", self._grams
+            codes.extend([grams[marked[i : i + n]] for i in range(len(w) + 3 - n)])
+        self._start.append(len(codes))
+        return len(self._start) - 2
+
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, features before each word and in all)."""
+        ids = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        start = np.frombuffer(self._start, np.int64)
+        at, ends = _ranges(start[ids], start[ids + 1])
+        return np.frombuffer(self._codes, np.int32)[at], ends
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions))
-        for row, t in zip(out, texts):
-            if words := [self._word(w) for w in _WORD.findall((t or "").lower())]:
-                at, add = zip(*words)
-                row[:] = np.bincount(np.concatenate(at), np.concatenate(add), self.dimensions)
+        return self.windows(texts, 0)
+
+    def windows(self, parts: list[str], buffer: int) -> np.ndarray:
+        """The vector of each part together with ``buffer`` ones on either side, as of their texts joined by spaces."""
+        n = len(parts)
+        out = np.zeros((n, self.dimensions))
+        a = 0
+        while a < n:  # parts a to b, and the buffer beside them, as far as their characters go
+            left, b, size = max(0, a - buffer), a, 0
+            while b < n and (b == a or size < FEATURES // 2):
+                size += len(parts[b] or "") * (2 * buffer + 1)
+                b += 1
+            self._sum(parts[left : b + buffer], a - left, buffer, out[a:b])
+            a = b
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
+    def _sum(self, parts: list[str], skip: int, buffer: int, out: np.ndarray) -> None:
+        if len(self._known) > KNOWN_WORDS or len(self._grams) > KNOWN_WORDS or len(self._codes) > 20 * KNOWN_WORDS:
+            self._forget()
+        split = [_WORD.findall((t or "").lower()) for t in parts]
+        codes, ends = self._features([w for words in split for w in words])
+        ends = ends[np.cumsum([0, *map(len, split)])]  # features before each part
+        i = np.arange(len(out)) + skip
+        first, last = ends[np.maximum(0, i - buffer)], ends[np.minimum(len(parts), i + buffer + 1)]
+        if buffer:
+            codes = codes[_ranges(first, last)[0]]
+        row = np.repeat(np.arange(len(out)) * self.dimensions, last - first)
+        out[:] = np.bincount(row + (codes >> 2), _WEIGHTS[codes & 3], out.size).reshape(out.shape)
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers from each first to before its last, one range after the other; how many come before each range, and in all."""
+    ends = np.concatenate([[0], np.cumsum(last - first)])
+    return np.arange(ends[-1]) + np.repeat(first - ends[:-1], last - first), ends
+
 
 embedders.register("hash", Hashing)
 
@@ -124,14 +186,20 @@ def embed(text: Column, provider: str = "hash", **options) -> Column:
     """array<double> per text; the model is built once per Python worker. options: dimensions, model, batch_size, encode."""
     embedders.create(provider, **options)  # what is missing is told here, not by a worker
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    size = options.get("batch_size") or 256
+    step = size * max(1, TEXTS // size)
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = embedders.create(provider, **options)
         for b in batches:
-            m = model.embed(b.tolist())
-            if len(m) and m.shape[1] != model.dimensions:
-                raise DimensionMismatchError(model.dimensions, m.shape[1])
-            yield pd.Series(list(m), dtype=object)
+            out = np.zeros((len(b), model.dimensions))
+            for at in range(0, len(b), step):  # the texts leave Arrow a few at a time
+                m = model.embed(b.slice(at, step).to_pylist())
+                if m.shape[1] != model.dimensions:
+                    raise DimensionMismatchError(model.dimensions, m.shape[1])
+                out[at : at + len(m)] = m
+            yield pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * model.dimensions, out.ravel())
 
     return run(text)
 

@@ -277,3 +277,33 @@ def test_semantic_chunks_and_vectors_cover_documents(spark, tmp_path):
     assert vectors.keys() == set(range(len(texts)))
     for i, t in enumerate(texts):
         assert np.allclose(vectors[i], _slow_vector(t, 64), atol=2e-6)
+
+
+def test_hierarchy_counts_each_word_once(spark):
+    r = random.Random(5)
+    text = " ".join("x" * r.randint(1, 30) for _ in range(600))
+    asked = []
+
+    def count(w):
+        asked.append(w)
+        return C.approx_count(w)
+
+    found = C.hierarchical_spans(text, 90, 25, 7, count)
+    assert asked == text.split() and [p for p, _ in found] == greedy(text, 90, 0, C.approx_count)
+    for (a, b), kids in found:
+        assert [(s - a, e - a) for s, e in kids] == greedy(text[a:b], 25, 7, C.approx_count)
+    docs = spark.createDataFrame([("d", text)], "id string, content string")
+    plan = C.hierarchical_chunks(docs, 90, 25, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_t#" not in plan  # no copy of the text beside each chunk
+
+
+def test_tokens_of_chunks_are_the_native_ones(spark):
+    from sieveline.functions.text import TOKEN_COUNTERS
+
+    plain = "".join(chr(c) for c in range(0x20, 0x2060) if c < 0x250 or c > 0x200F)
+    odd = ["".join(c if c.isspace() else f"ab{c}cdef " for c in plain), "\x1c a\x1db\x85c\xa0d ", "漢字 １２３ e\u0301e ǅ", "ab.cd ef-gh, ij"]
+    docs = spark.createDataFrame([(str(i), (t + " end. ") * 3) for i, t in enumerate(odd)], "id string, content string")
+    for counter, native in TOKEN_COUNTERS.items():
+        for name, options in (("fixed", {"chunk_size": 20, "overlap": 4}), ("hierarchical", {"parent_size": 60, "chunk_size": 20, "overlap": 4}), ("sentence", {"chunk_size": 20})):
+            rows = C.with_chunks(docs, chunkers.create(name, counter=counter, **options), counter=counter, name=name).withColumn("n", native(F.col("content"))).collect()
+            assert {r["document_id"] for r in rows} == set("0123") and all(r["token_count"] == r["n"] for r in rows)
