@@ -307,3 +307,16 @@ def test_tokens_of_chunks_are_the_native_ones(spark):
         for name, options in (("fixed", {"chunk_size": 20, "overlap": 4}), ("hierarchical", {"parent_size": 60, "chunk_size": 20, "overlap": 4}), ("sentence", {"chunk_size": 20})):
             rows = C.with_chunks(docs, chunkers.create(name, counter=counter, **options), counter=counter, name=name).withColumn("n", native(F.col("content"))).collect()
             assert {r["document_id"] for r in rows} == set("0123") and all(r["token_count"] == r["n"] for r in rows)
+
+
+def test_windows_of_sentences_are_hashed_once_and_to_the_bit():
+    r = random.Random(4)
+    parts = [" ".join("".join(r.choices("abcdeéß", k=r.randint(1, 9))) for _ in range(r.randint(0, 12))) for _ in range(50)]
+    for buffer in (0, 1, 3):
+        model, seen = Hashing(24), []
+        known = model._known.__getitem__
+        model._known = type("Seen", (), {"__getitem__": lambda _, w: seen.append(w) or known(w), "__len__": lambda _: 0})()
+        got = model.windows(parts, buffer)
+        assert seen == " ".join(parts).split()
+        want = Hashing(24).embed([" ".join(parts[max(0, i - buffer) : i + buffer + 1]) for i in range(len(parts))])
+        assert (got == want).all()
