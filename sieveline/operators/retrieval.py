@@ -96,17 +96,17 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, **options) -> DataF
     return top_k(bm25_scores(queries, chunks, **options), k).withColumn("retriever", F.lit("bm25"))
 
 
-#: queries whose vectors are in memory together
-QUERY_BLOCK = 4096
+#: queries whose vectors are in memory together; rows, and queries beside them, of one matrix product; hits besides k a query before they are cut
+QUERY_BLOCK, ROWS, TILE, PENDING = 4096, 2048, 512, 1 << 17
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, others: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score): by cosine, at least the k best rows of every Arrow batch for each query, ties at 9 digits with them.
+    """(query_id, chunk_id, score): by cosine, the k best rows of every task for each query, by score at 9 digits, then id.
 
     The queries are the stated set: their number is counted and they go in blocks
-    of ``QUERY_BLOCK``, each one matrix product a batch of the scan of
-    ``vectors``. So what reaches the shuffle is k rows a query and batch, not all
-    pairs. A zero or null vector, or one of another size than the queries', has
+    of ``QUERY_BLOCK``, each one scan of ``vectors`` in matrix products of a fixed
+    size. So memory holds one product and k hits a query, however large both
+    sides are, and k rows a query and task reach the shuffle, not all pairs. A zero or null vector, or one of another size than the queries', has
     no score. others: a row is no hit of the query of its own id.
     """
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
@@ -134,27 +134,76 @@ def _matrix(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.n
     return at[good], m[good] / norm[good, None]
 
 
+class _Best:
+    """The k best hits of each query so far: by score at 9 digits, then name."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -9.0)  # least: a rounded score below which a hit of the query can't count
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.pending = self.kept = 0
+
+    def add(self, first: int, s: np.ndarray, names: pa.Array) -> None:
+        """s: scores of queries from ``first`` on; the names ascend."""
+        least = self.least[first : first + len(s)]
+        good = s >= least[:, None] - 1e-9
+        for row in np.flatnonzero(np.count_nonzero(good, axis=1) > self.k):
+            at = np.flatnonzero(good[row])
+            r = np.round(s[row, at], 9)
+            if len(at) > 4 * self.k:
+                some = np.flatnonzero(r >= np.partition(r, -self.k)[-self.k])
+                at, r = at[some], r[some]
+            best = np.argsort(-r, kind="stable")[: self.k]
+            good[row] = False
+            good[row, at[best]] = True
+            least[row] = max(least[row], r[best[-1]])
+        i, j = np.nonzero(good)
+        if len(i):
+            self.held.append(((i + first).astype(np.int32), s[i, j], names.take(pa.array(j))))
+            self.pending += len(i)
+        if self.pending > self.kept + PENDING:
+            self.cut()
+
+    def cut(self) -> pa.Table | None:
+        if not self.held:
+            return None
+        i, s, names = zip(*self.held)
+        t = pa.table({"i": np.concatenate(i), "s": np.concatenate(s), "name": pa.concat_arrays(names)})
+        t = t.append_column("r", pa.array(-np.round(t["s"].to_numpy(), 9)))
+        t = t.take(pc.sort_indices(t, [("i", "ascending"), ("r", "ascending"), ("name", "ascending")]))
+        i = t["i"].to_numpy()
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[i[last]] = -t["r"].to_numpy()[last]
+        t = t.filter(pa.array(place < self.k)).combine_chunks()
+        self.held = [(t["i"].to_numpy(), t["s"].to_numpy(), t["name"].combine_chunks())]
+        self.pending = self.kept = t.num_rows
+        return t
+
+
 def _best_of(block: pa.Table, k: int, others: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = block.column("query_id").combine_chunks()
         places, q = _matrix(block.column("vector").combine_chunks())
         ids = ids.take(pa.array(places))
-        for b in batches:
-            at, v = _matrix(b.column(1), q.shape[1])
-            names = b.column(0).take(pa.array(at))
-            i = j = np.zeros(0, np.int64)
-            s = np.zeros((0, 0))
-            if len(at) and len(ids) and k > 0:
-                s = q @ v.T
-                if others:
-                    own = pc.index_in(ids, names).to_pylist()
-                    for row, col in enumerate(own):
-                        if col is not None:
-                            s[row, col] = -np.inf
-                r = np.round(s, 9)
-                limit = np.partition(r, -k, axis=1)[:, -k] if k < r.shape[1] else np.full(len(r), -9.0)
-                i, j = np.nonzero((r >= limit[:, None]) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), names.take(pa.array(j)), pa.array(s[i, j] if len(i) else [], pa.float64())], ["query_id", "chunk_id", "score"])
+        best = _Best(len(ids), k)
+        for b in batches if len(ids) and k > 0 else ():
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                at, v = _matrix(some.column(1), q.shape[1])
+                names = some.column(0).take(pa.array(at))
+                order = pc.sort_indices(names)
+                names, v = names.take(order), v[order.to_numpy()]
+                own = pc.index_in(names, ids) if others else None
+                for first in range(0, len(q), TILE):
+                    s = q[first : first + TILE] @ v.T
+                    if others:
+                        row = pc.fill_null(own, -1).to_numpy(zero_copy_only=False) - first
+                        col = np.flatnonzero((row >= 0) & (row < len(s)))
+                        s[row[col], col] = -np.inf
+                    best.add(first, s, names)
+        if (t := best.cut()) is not None:
+            out = pa.table({"query_id": ids.take(t["i"].combine_chunks()), "chunk_id": t["name"], "score": t["s"]})
+            yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
     return run
 

@@ -320,3 +320,31 @@ def test_windows_of_sentences_are_hashed_once_and_to_the_bit():
         assert seen == " ".join(parts).split()
         want = Hashing(24).embed([" ".join(parts[max(0, i - buffer) : i + buffer + 1]) for i in range(len(parts))])
         assert (got == want).all()
+
+
+def test_dense_memory_and_hits_are_bounded(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    vectors = lambda n: pa.array(list(r.normal(size=(n, 64))), pa.list_(pa.float64()))
+    block = pa.table({"query_id": np.arange(4096), "vector": vectors(4096)})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), vectors(10_000)], ["chunk_id", "vector"])
+    tracemalloc.start()
+    found = list(R._best_of(block, 10, False)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 150e6 and sum(b.num_rows for b in found) == 40_960
+    tracemalloc.stop()
+    # Copies tie: the least ids count, over batches, products and tasks.
+    rows = [(f"v{i:05}", [1.0, float(i % 3)]) for i in range(6000)]
+    r.shuffle(rows)
+    v = spark.createDataFrame([(str(i), [float(x) for x in e]) for i, e in rows], "chunk_id string, vector array<double>").repartition(2)
+    q = v.filter("chunk_id < 'v00007'").withColumnRenamed("chunk_id", "query_id")
+    for others in (False, True):
+        assert R.nearest(q, v, 4, others).count() <= 7 * 4 * 2
+        got = {}
+        for x in R.dense(q, v, 4, others=others).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append(x["chunk_id"])
+        for i in range(7):
+            like = [f"v{j:05}" for j in range(i % 3, 60, 3) if not (others and j == i)]
+            assert got[f"v{i:05}"] == like[:4]
