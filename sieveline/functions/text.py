@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: What Python's ``str.strip`` removes, for one line.
 _STRIP = r"[\s\x1c-\x1f\x85   -     　]+"
-TERM = r"[\p{L}\p{N}_]+"
-WORD_OR_SIGN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+#: The plain letters stand first, for speed; nothing is given back, as nothing follows.
+TERM = r"[a-zA-Z0-9_\p{L}\p{N}]++"
+WORD_OR_SIGN = r"[a-zA-Z0-9_\p{L}\p{N}]++|[^\p{L}\p{N}_\s]"
 
 
 def normalize_whitespace(text: Column) -> Column:

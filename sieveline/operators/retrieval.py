@@ -71,23 +71,30 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float
     Statistics are those of ``chunks``: pass them filtered and N, length and
     frequencies follow the filter. Chunks without terms count in N and length.
     """
-    wanted = small(query_terms(queries, terms))
+    wanted = query_terms(queries, terms)
+    sent = _sent(wanted)
     rows = chunks.select("chunk_id", terms(F.col("text")).alias("ts"))
     stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("ts")), F.lit(0.0)).alias("avgdl"))
     hits = rows.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    # Only terms that some query has leave the scan.
-    hits = hits.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    # Only terms that some query has leave the scan, once: by chunk, so that counts and scores need no other shuffle.
+    hits = hits.join(sent(wanted.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
     tf = hits.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return score_postings(wanted, tf, stats, k1, b, tf_cap)
+    return score_postings(sent(wanted), tf, stats, k1, b, tf_cap, sent)
+
+
+def _sent(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``F.broadcast`` if ``df`` is small enough, for it and all that has no more rows, else nothing."""
+    return F.broadcast if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x
 
 
-def score_postings(wanted: DataFrame, tf: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75, tf_cap: int | None = None) -> DataFrame:
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def score_postings(wanted: DataFrame, tf: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75, tf_cap: int | None = None, sent: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """sent: broadcasts what has no more rows than ``wanted``."""
+    df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))  # reads tf, so that both sides of the join share one shuffle
     f = F.col("tf").cast("double") if tf_cap is None else F.least(F.col("tf"), F.lit(tf_cap)).cast("double")
     norm = F.lit(1 - b) + F.lit(float(b)) * F.col("dl") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * f * F.lit(k1 + 1) / (f + F.lit(float(k1)) * norm)
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", weight.alias("w"))
+    weighed = tf.join(sent(df), "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", weight.alias("w"))
     return weighed.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 

@@ -348,3 +348,13 @@ def test_dense_memory_and_hits_are_bounded(spark):
         for i in range(7):
             like = [f"v{j:05}" for j in range(i % 3, 60, 3) if not (others and j == i)]
             assert got[f"v{i:05}"] == like[:4]
+
+
+def test_bm25_shuffles_the_hits_once(spark):
+    docs = spark.createDataFrame(DOCS, "chunk_id string, text string")
+    q = spark.createDataFrame([("q1", "service of authentication"), ("q2", "the text")], "query_id string, text string")
+    plan = R.bm25_scores(q, docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\w+, chunk_id#|hashpartitioning\(chunk_id#\w+, dl#", plan)
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in R.bm25_scores(q, docs).collect()}
+    want = {(i, c): s for i, t in (("q1", "service of authentication"), ("q2", "the text")) for c, s in okapi(t, DOCS).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
