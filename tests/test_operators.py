@@ -358,3 +358,16 @@ def test_bm25_shuffles_the_hits_once(spark):
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in R.bm25_scores(q, docs).collect()}
     want = {(i, c): s for i, t in (("q1", "service of authentication"), ("q2", "the text")) for c, s in okapi(t, DOCS).items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_remembered_words_take_little_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"{w:08x}" for w in range(k, k + 100)) for k in range(0, 60_000, 100)]
+    model = Hashing(64)
+    tracemalloc.start()
+    for at in range(0, len(texts), 100):
+        model.embed(texts[at : at + 100])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 18e6, held
